@@ -11,7 +11,7 @@ from connlens.functions.scalars import vector_from_text, vector_to_text
 from connlens.operators.filters import result_anomalies
 from connlens.operators.joins import enrich_first
 from connlens.operators.spread import sized_join
-from connlens.schemas import DEFAULT_LABELS, LABEL_DEFINITION, LABELLED, TRAINING
+from connlens.schemas import DEFAULT_LABELS, LABEL_DEFINITION, LABELLED, TRAINING_TYPES
 
 LABEL_FIELDS = ["label_category", "label_subcategory", "confidence_level", "labeled_by", "labeled_at", "review_status", "notes"]
 
@@ -76,14 +76,14 @@ def conform(df: DataFrame, now: Column | None = None) -> DataFrame:
     defaults = {"is_anomaly": F.lit(False), "review_status": F.lit("pending"), "has_extracted_pcap": F.lit(False)}
     generated = {"created_at": moment, "updated_at": moment}
     out = []
-    for f in TRAINING.fields:
-        if f.name in generated:
-            value = generated[f.name]
-        elif f.name in df.columns:
-            value = F.coalesce(F.col(f.name), defaults[f.name]) if f.name in defaults else F.col(f.name)
+    for name, dtype in TRAINING_TYPES.items():
+        if name in generated:
+            value = generated[name]
+        elif name in df.columns:
+            value = F.coalesce(F.col(name), defaults[name]) if name in defaults else F.col(name)
         else:
-            value = defaults.get(f.name, F.lit(None))
-        out.append(value.cast(f.dataType).alias(f.name))
+            value = defaults.get(name, F.lit(None))
+        out.append(value.cast(dtype).alias(name))
     return df.select(*out)
 
 

@@ -84,13 +84,12 @@ def score_bands(results: DataFrame, high: float = -0.5, moderate: float = 0.0) -
     return results.groupBy(score_band("score", high, moderate).alias("band")).agg(F.count("*").alias("n"))
 
 
-def score_series(results: DataFrame, width: str = "1 day") -> DataFrame:
+def score_series(results: DataFrame, unit: str = "day") -> DataFrame:
     """Score over time: count, anomalies, lowest and mean score per time slot."""
-    slots = results.groupBy(F.window("timestamp", width).alias("_w")).agg(
-        F.count("*").alias("n"), _anomalies().alias("anomalies"), F.min("score").alias("min_score"),
-        F.round(F.avg("score"), 6).alias("avg_score"),
+    slots = results.groupBy(F.date_trunc(unit, "timestamp").alias("slot")).agg(
+        F.count("*").alias("n"), _anomalies().alias("anomalies"), F.min("score").alias("min_score"), F.avg("score").alias("avg_score")
     )
-    return slots.select(F.col("_w.start").alias("slot"), "n", "anomalies", "min_score", "avg_score")
+    return slots.withColumn("avg_score", F.round("avg_score", 6))
 
 
 def time_ordered(results: DataFrame) -> DataFrame:

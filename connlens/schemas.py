@@ -60,7 +60,7 @@ LABELLED_LEGACY = T.StructType([
     for name in ("timestamp", "uid", "score", "original_label", "user_label", "feature_vector")
 ])
 
-CAPTURE_DOCUMENT = T.StructType.fromDDL(
+CAPTURE_DOCUMENT = (
     "pcap_filename string, pcap_path string, origin_type string, timestamp string, "
     "metadata struct<interface: string, duration_seconds: int, capture_method: string, "
     "original_filename: string, file_size_bytes: bigint, upload_source: string>, "
@@ -68,7 +68,7 @@ CAPTURE_DOCUMENT = T.StructType.fromDDL(
     "total_connections: bigint, analysis_timestamp: string, analysis_id: string>>"
 )
 
-TRAINING = T.StructType.fromDDL(
+TRAINING = (
     "uid string, timestamp timestamp, source_ip string, dest_ip string, source_port int, dest_port int, proto string, "
     "service string, duration double, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, "
     "history string, feature_vector array<double>, anomaly_score double, is_anomaly boolean, label_category string, "
@@ -76,6 +76,8 @@ TRAINING = T.StructType.fromDDL(
     "review_status string, notes string, has_extracted_pcap boolean, created_at timestamp, updated_at timestamp"
 )
 
+TRAINING_TYPES = dict(part.split(" ", 1) for part in TRAINING.split(", "))
+
 # Record shapes handed to readers of the training table.
 BROWSE_FIELDS = [
     "uid", "timestamp", "source_ip", "dest_ip", "source_port", "dest_port", "proto", "service", "duration",
@@ -92,7 +94,7 @@ EXPORT_FIELDS = [
 CONFIDENCE_ORDER = {"low": 0, "medium": 1, "high": 2}
 REVIEW_STATES = ["pending", "reviewed", "needs_review", "verified"]
 
-LABEL_DEFINITION = T.StructType.fromDDL(
+LABEL_DEFINITION = (
     "category string, subcategory string, description string, color_hex string, is_active boolean"
 )
 
