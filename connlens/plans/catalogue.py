@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from connlens.plans import join_queries, report_queries  # noqa: F401  (registration)
+from connlens.plans import feature_queries, join_queries, label_queries, report_queries  # noqa: F401  (registration)
 from connlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
