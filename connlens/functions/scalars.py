@@ -16,7 +16,8 @@ def column(c: str | Column) -> Column:
 # --- times ---------------------------------------------------------------
 
 def epoch_to_timestamp(c: str | Column) -> Column:
-    return F.timestamp_seconds(column(c).cast("double"))
+    """Epoch seconds, as text or number, to a timestamp; decimals keep every microsecond."""
+    return F.timestamp_seconds(column(c).try_cast("decimal(20,6)"))
 
 
 def text_to_timestamp(c: str | Column) -> Column:
@@ -90,7 +91,9 @@ def vector_from_text(c: str | Column) -> Column:
 
 
 def vector_to_text(c: str | Column) -> Column:
-    return F.to_json(column(c))
+    """``[a, b, ...]``; a missing number is written as NaN."""
+    cells = F.transform(column(c), lambda x: F.coalesce(x.cast("string"), F.lit("NaN")))
+    return F.concat(F.lit("["), F.array_join(cells, ", "), F.lit("]"))
 
 
 def fit_width(c: str | Column, width: int) -> Column:

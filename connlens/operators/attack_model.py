@@ -86,13 +86,14 @@ def prepare(df: DataFrame, classes: Sequence[str], vector: str = "features", cla
 
 
 def _estimator(kind: str, seed: int, options: Mapping[str, object]):
-    common = {"featuresCol": "_vector", "labelCol": "_label", "seed": seed}
+    names = {"featuresCol": "_vector", "labelCol": "_label", "predictionCol": "_prediction"}
     if kind == "random_forest":
-        return RandomForestClassifier(**common, weightCol="_weight", **{**FOREST, **options})
-    if kind == "gradient_boosting":
-        return OneVsRest(
-            classifier=GBTClassifier(**common, **{**BOOST, **options}), featuresCol="_vector", labelCol="_label", rawPredictionCol="rawPrediction", parallelism=4
+        return RandomForestClassifier(
+            **names, rawPredictionCol="_raw", probabilityCol="_probability", weightCol="_weight", seed=seed, **{**FOREST, **options}
         )
+    if kind == "gradient_boosting":
+        binary = GBTClassifier(**names, seed=seed, **{**BOOST, **options}).setRawPredictionCol("_raw").setProbabilityCol("_probability")
+        return OneVsRest(classifier=binary, **names, rawPredictionCol="_raw", parallelism=4)
     raise ValueError(f"classifier type {kind!r}: use 'random_forest' or 'gradient_boosting'")
 
 
@@ -115,10 +116,10 @@ def predict_classes(df: DataFrame, model: AttackModel, vector: str = "features",
     ready = df.withColumn("_vector", array_to_vector(F.col(vector)))
     out = model.fitted.transform(ready)
     if model.kind == "random_forest":
-        shares = vector_to_array(F.col("probability"))
+        shares = vector_to_array(F.col("_probability"))
     else:
         # One binary model per class: logistic of twice the margin, scaled to sum 1.
-        votes = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
+        votes = F.transform(vector_to_array(F.col("_raw")), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
         out = out.withColumn("_votes", votes)
         total = F.aggregate(F.col("_votes"), F.lit(0.0), lambda s, x: s + x)
         shares = F.transform(F.col("_votes"), lambda v: v / total)
@@ -196,7 +197,7 @@ def _search(df: DataFrame, grid: Mapping[str, Sequence], kind: str, vector: str,
         maps = builder.build()
     else:
         maps = [{}]
-    evaluator = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy")
+    evaluator = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="_prediction", metricName="accuracy")
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=count, foldCol="fold", seed=seed, parallelism=parallelism
     )

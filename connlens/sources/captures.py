@@ -43,11 +43,12 @@ def list_captures(documents: DataFrame, names: DataFrame) -> DataFrame:
 
 def lineage_of(documents: DataFrame) -> DataFrame:
     """One row per capture and analysis; a capture without analysis keeps one row with a null id."""
-    return documents.select(
+    flat = documents.select(
         F.col("pcap_filename").alias("pcap_name"), "origin_type", F.col("metadata.interface").alias("iface"),
         F.col("metadata.duration_seconds").alias("duration_seconds"), F.col("metadata.original_filename").alias("original_filename"),
-        "created", F.explode_outer("analysis_results").alias("_a"),
-    ).select("*", "_a.analysis_id", "_a.anomaly_count", "_a.total_connections").drop("_a")
+        "created", F.inline_outer("analysis_results"),
+    )
+    return flat.select("pcap_name", "origin_type", "iface", "duration_seconds", "original_filename", "created", "analysis_id", "anomaly_count", "total_connections")
 
 
 def append_lineage(rows: DataFrame, path: str) -> None:

@@ -44,7 +44,7 @@ def _typed(cells: Column, names: Sequence[str], null_texts: Sequence[str]) -> li
         text = F.get(cells, F.lit(list(names).index(source)))
         text = F.when(~text.isin(list(null_texts)), text)
         if source == "ts":
-            out.append(epoch_to_timestamp(text.try_cast("double")).alias(target))
+            out.append(epoch_to_timestamp(text).alias(target))
         elif dtype in ("bigint", "int"):
             # A count written as 12.0 is still a count.
             out.append(text.try_cast("double").cast(dtype).alias(target))
