@@ -40,7 +40,7 @@ def fit_encoder(df: DataFrame, columns: Sequence[str] = CATEGORICAL, order: str
     out = None
     if present:
         first = long_categories(df, present, [order]).groupBy("column", "value").agg(F.min(order).alias("_first"))
-        ranked = running_totals(first, ["_first", "value"], {"_n": F.lit(1)}, ["column"])
+        ranked = running_totals(first, ["_first", "value"], {"_n": F.lit(1)}, ["column"], expect_small=True)
         out = ranked.select("column", "value", (F.col("_n") - 1).cast("int").alias("id"))
     if absent:
         flags = df.sparkSession.createDataFrame([(c, None, -1) for c in absent], "column string, value string, id int")
@@ -64,19 +64,28 @@ def apply_encoder(
     a broadcast and a salted shuffle join.
     """
     present = [c for c in columns if c in df.columns]
-    sizes = {r["column"]: r for r in encoder.groupBy("column").agg(F.count("value").alias("n"), F.min("id").alias("least")).collect()}
+    head = encoder.limit(map_rows * len(columns) + 1).collect()
+    whole = len(head) <= map_rows * len(columns)
+    if whole:
+        sizes = {c: sum(r["column"] == c and r["value"] is not None for r in head) for c in present}
+        absent = {c for c in present if sizes[c] == 0}
+    else:
+        counts = {r["column"]: r for r in encoder.groupBy("column").agg(F.count("value").alias("n"), F.min("id").alias("least")).collect()}
+        sizes = {c: counts[c]["n"] if c in counts else 0 for c in present}
+        absent = {c for c in present if c not in counts or counts[c]["least"] == -1}
     out = fill_categories(df, present)
     for c in present:
+        rows = head if whole else None
         table = encoder.filter((F.col("column") == c) & F.col("value").isNotNull())
-        size = sizes[c]["n"] if c in sizes else 0
-        if c not in sizes or sizes[c]["least"] == -1:
+        size = sizes[c]
+        if c in absent:
             if order is None:
                 raise ValueError(f"column {c!r} was absent at fit time: an order column is needed to fit it now")
             table = fit_encoder(df, [c], order)
-            size = table.count()
+            size, rows = table.count(), None
         target = c + suffix
         if size <= map_rows:
-            ids = {r["value"]: r["id"] for r in table.collect()}
+            ids = {r["value"]: r["id"] for r in rows or table.collect() if r["column"] == c and r["value"] is not None}
             entries = [F.lit(x) for item in ids.items() for x in item]
             known = F.try_element_at(F.create_map(*entries), F.col(c)) if entries else F.lit(None).cast("int")
             out = out.withColumn(target, F.coalesce(known, F.lit(-1)))
@@ -102,12 +111,6 @@ def merge_unknown(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.select("column", "value").unionByName(new.select("column", "value")).distinct()
 
 
-def unknown_as_map(unknown: DataFrame) -> DataFrame:
-    """One row ``map<column, array<value>>``, the stored JSON shape. Meant for the short report of unknown values."""
-    lists = unknown.groupBy("column").agg(F.sort_array(F.collect_set("value")).alias("values"))
-    return lists.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", "values")))).alias("unknown"))
-
-
 def expand_encoder(encoder: DataFrame, new: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Give values not yet known the ids max+1, max+2, ... in list order.
 
@@ -119,7 +122,7 @@ def expand_encoder(encoder: DataFrame, new: DataFrame, order: str | None = None)
     wanted = new.select("column", "value", position.alias("_at")).groupBy("column", "value").agg(F.min("_at").alias("_at"))
     top = known.groupBy("column").agg(F.max("id").alias("_top"))
     fresh = wanted.join(known.select("column", "value"), ["column", "value"], "left_anti")
-    ranked = running_totals(fresh, ["_at", "value"], {"_n": F.lit(1)}, ["column"])
+    ranked = running_totals(fresh, ["_at", "value"], {"_n": F.lit(1)}, ["column"], expect_small=True)
     added = ranked.join(top, "column").select("column", "value", (F.col("_top") + F.col("_n")).cast("int").alias("id"))
     counts = added.groupBy("column").agg(F.count("*").alias("added"))
     return encoder.unionByName(added), counts

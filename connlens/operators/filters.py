@@ -103,8 +103,7 @@ def result_anomalies(df: DataFrame) -> DataFrame:
 def lookup_uids(log: DataFrame, uids: DataFrame) -> DataFrame:
     """Five-tuple of each wanted uid, protocol in lower case; the first log line answers."""
     tuple_columns = ["source_ip", "source_port", "dest_ip", "dest_port", "proto"]
-    wanted = uids.select("uid").distinct()
-    found = sized_join(log.select("uid", "line_no", *tuple_columns), wanted, "uid", "left_semi")
+    found = sized_join(log.select("uid", "line_no", *tuple_columns), uids.select("uid"), "uid", "left_semi", distinct=True)
     first = found.groupBy("uid").agg(F.min_by(F.struct(*tuple_columns), "line_no").alias("_t"))
     return first.select("uid", *[F.col(f"_t.{c}") for c in tuple_columns[:-1]], F.lower("_t.proto").alias("proto"))
 
@@ -113,5 +112,5 @@ def scan_of_uid(corpus: DataFrame, uids: DataFrame | None = None) -> DataFrame:
     """Earliest scan that contains each uid."""
     rows = corpus.select("uid", "scan_id")
     if uids is not None:
-        rows = sized_join(rows, uids.select("uid").distinct(), "uid", "left_semi")
+        rows = sized_join(rows, uids.select("uid"), "uid", "left_semi", distinct=True)
     return rows.groupBy("uid").agg(F.min("scan_id").alias("scan_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from connlens.operators.ordered import running_totals
-from connlens.operators.spread import spread_join
+from connlens.operators.spread import sized_join, spread_join
 
 # IP protocol numbers; the other protocols are matched on addresses alone.
 PROTOCOL_NUMBERS = {"icmp": 1, "tcp": 6, "udp": 17, "sctp": 132}
@@ -47,13 +47,14 @@ def packet_keys(packets: DataFrame) -> DataFrame:
         proto.isin("icmp", "sctp"), F.concat_ws("/", proto, _pair(source, dest))
     )
     anyone = F.concat_ws("/", F.lit("any"), _pair(source, dest))
-    return packets.withColumn("flow_key", F.explode(F.array_compact(F.array(special, anyone))))
+    both = packets.withColumns({"_special": special, "_any": anyone})
+    return both.withColumn("flow_key", F.explode(F.array_compact(F.array("_special", "_any")))).drop("_special", "_any")
 
 
 def flow_packets(packets: DataFrame, connections: DataFrame) -> DataFrame:
     """The packets, both directions, of every flow asked for; each packet once per flow key."""
-    wanted = connection_key(connections).select("flow_key").distinct()
-    return spread_join(packet_keys(packets), wanted, "flow_key", "left_semi")
+    wanted = connection_key(connections).select("flow_key")
+    return sized_join(packet_keys(packets), wanted, "flow_key", "left_semi", distinct=True)
 
 
 def flow_totals(packets: DataFrame, connections: DataFrame) -> DataFrame:
@@ -89,5 +90,7 @@ def anomaly_context(packets: DataFrame, anomalies: DataFrame, last: int = 500) -
     asked = numbered.filter("kind = 1 and rank > 0").select(
         "iface", F.col("key").alias("uid"), F.col("rank").alias("_r"), F.explode(F.array(newest, newest - 1)).alias("_block")
     ).filter("_block >= 0")
-    met = asked.join(seen, ["iface", "_block"]).filter((F.col("_p") <= F.col("_r")) & (F.col("_p") > F.col("_r") - last))
+    # Many anomalies may fall into one block; the block itself holds few packets.
+    key = F.concat_ws("/", F.col("_block").cast("string"), "iface")
+    met = spread_join(asked.withColumn("_key", key), seen.withColumn("_key", key).drop("iface", "_block"), "_key", "inner").filter((F.col("_p") <= F.col("_r")) & (F.col("_p") > F.col("_r") - last))
     return met.select("uid", "iface", "pkt_id", "packet_ts", (F.col("_r") - F.col("_p") + 1).alias("back"))

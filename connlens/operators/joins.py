@@ -65,8 +65,8 @@ def enrich_first(results: DataFrame, log: DataFrame, scan_start: str | Column |
 
 def flag_present(df: DataFrame, uids: DataFrame, flag: str = "has_extracted_pcap") -> DataFrame:
     """True where the uid is in the list."""
-    marks = uids.select("uid").distinct().withColumn("_in", F.lit(True))
-    joined = sized_join(df, marks, "uid")
+    marks = uids.select("uid", F.lit(True).alias("_in"))
+    joined = sized_join(df, marks, "uid", distinct=True)
     return joined.withColumn(flag, F.coalesce("_in", F.lit(False))).drop("_in")
 
 

@@ -66,7 +66,7 @@ def append_labels(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def merge_labels(old: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
     """Append, then keep the newest label of each key. Old rows with a new label are dropped before the append."""
-    remaining = sized_join(old, new.select(key).distinct(), key, "left_anti")
+    remaining = sized_join(old, new.select(key), key, "left_anti", distinct=True)
     return append_labels(remaining, new)
 
 
@@ -104,7 +104,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str] = "uid", kee
             F.when(F.col("_held").isNotNull(), F.col(f"_held.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in rows.columns
         ])
     if len(keys) == 1:
-        remaining = sized_join(old, rows.select(*keys).distinct(), keys[0], "left_anti")
+        remaining = sized_join(old, rows.select(*keys), keys[0], "left_anti", distinct=True)
     else:
         remaining = old.join(rows.select(*keys).distinct(), keys, "left_anti")
     return remaining.unionByName(rows)
@@ -129,17 +129,17 @@ def mark_extracted(df: DataFrame, uids: DataFrame, value: bool = True, now: Colu
 
 
 def _update(df: DataFrame, uids: DataFrame, new: dict[str, Column]) -> DataFrame:
-    hit = sized_join(df, uids.select("uid").distinct().withColumn("_hit", F.lit(True)), "uid")
+    hit = sized_join(df, uids.select("uid", F.lit(True).alias("_hit")), "uid", distinct=True)
     return hit.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
 
 
 def count_listed(df: DataFrame, uids: DataFrame) -> DataFrame:
     """How many stored rows a uid list reaches: the count an update or a delete reports."""
-    return sized_join(df.select("uid"), uids.select("uid").distinct(), "uid", "left_semi").agg(F.count("*").alias("changed"))
+    return sized_join(df.select("uid"), uids.select("uid"), "uid", "left_semi", distinct=True).agg(F.count("*").alias("changed"))
 
 
 def delete_uids(df: DataFrame, uids: DataFrame) -> DataFrame:
-    return sized_join(df, uids.select("uid").distinct(), "uid", "left_anti")
+    return sized_join(df, uids.select("uid"), "uid", "left_anti", distinct=True)
 
 
 def add_column(df: DataFrame, name: str = "has_extracted_pcap", default=False) -> DataFrame:
@@ -182,7 +182,7 @@ def label_from_scan(
 def scan_labels(results: DataFrame, uids: DataFrame, category: str, confidence: str = "medium", now: Column | None = None, order: str = "line_no") -> DataFrame:
     moment = F.current_timestamp() if now is None else now
     score = "anomaly_score" if "anomaly_score" in results.columns else "score"
-    wanted = sized_join(results, uids.select("uid").distinct(), "uid", "left_semi")
+    wanted = sized_join(results, uids.select("uid"), "uid", "left_semi", distinct=True)
     columns = [c for c in results.columns if c != "uid"]
     first = wanted.groupBy("uid").agg(F.min_by(F.struct(*columns), F.col(order)).alias("_r"))
 
@@ -204,7 +204,7 @@ def scan_labels(results: DataFrame, uids: DataFrame, category: str, confidence:
 
 def append_user_label(log: DataFrame, results: DataFrame, uids: DataFrame, user_label: str) -> DataFrame:
     """Result rows of the uids with the user's label, appended to a label log."""
-    hits = sized_join(results, uids.select("uid").distinct(), "uid", "left_semi")
+    hits = sized_join(results, uids.select("uid"), "uid", "left_semi", distinct=True)
     return append_labels(log, hits.withColumn("user_label", F.lit(user_label)))
 
 

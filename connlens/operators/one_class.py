@@ -135,13 +135,18 @@ def score_one_class(df: DataFrame, model: OneClassModel, vector: str = "z", outp
     return _append_score(df, vector, output, model.width, score)
 
 
-def scale_gamma(df: DataFrame, vector: str, width: int) -> float:
-    """1 / (features * variance of all cells)."""
+def cell_sums(vector: str) -> list[Column]:
+    """Rows, narrowest and widest vector, sum and sum of squares of all cells: the facts a fit needs, in one pass."""
     cell = F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x)
     square = F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x * x)
-    row = df.agg(F.count("*").alias("n"), F.sum(cell).alias("s"), F.sum(square).alias("q")).first()
-    cells = row["n"] * width
-    variance = row["q"] / cells - (row["s"] / cells) ** 2
+    return [
+        F.count("*").alias("n"), F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi"), F.sum(cell).alias("s"), F.sum(square).alias("q")
+    ]
+
+
+def scale_gamma(cells: int, total: float, squares: float, width: int) -> float:
+    """1 / (features * variance of all cells)."""
+    variance = squares / cells - (total / cells) ** 2
     return 1.0 / (width * variance) if variance > 0 else 1.0
 
 
@@ -168,15 +173,19 @@ def fit_one_class(
     if kernel not in ("rbf", "linear"):
         raise ValueError(f"kernel {kernel!r} is not supported; use 'rbf' or 'linear'")
     rows = df.select(vector).filter(F.col(vector).isNotNull() & ~F.exists(F.col(vector), lambda x: missing(x)))
+    # A small file may arrive as one partition; the passes below are compute-bound.
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < slots:
+        rows = rows.repartition(slots)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        head = rows.agg(F.count("*").alias("n"), F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi")).first()
+        head = rows.agg(*cell_sums(vector)).first()
         if not head["n"]:
             raise ValueError("no training rows")
         if head["lo"] != head["hi"]:
             raise ValueError("training vectors differ in width")
         n, width = head["n"], head["lo"]
-        value = scale_gamma(rows, vector, width) if gamma == "scale" else 1.0 / width if gamma == "auto" else float(gamma)
+        value = scale_gamma(n * width, head["s"], head["q"], width) if gamma == "scale" else 1.0 / width if gamma == "auto" else float(gamma)
         drawn = None if kernel == "linear" else _draw(width, size, value, seed)
         length = width if kernel == "linear" else size
         weights = _feature_sum(rows, vector, width, kernel, drawn, None, None, length)[0] / n

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from connlens.functions.scalars import missing
+from connlens.operators.spread import pin_small
 from connlens.session import cut_lineage
 
 # Up to this many rows one sorted task is cheaper than the two-level sum.
@@ -23,6 +25,7 @@ def running_totals(
     group: Sequence[str] = (),
     descending: bool = False,
     one_task_rows: int = ONE_TASK_ROWS,
+    expect_small: bool = False,
 ) -> DataFrame:
     """Inclusive running sum of each expression in ``totals`` along ``order`` inside ``group``.
 
@@ -30,19 +33,28 @@ def running_totals(
     (group, order), so a group holding most of the table is spread over many
     tasks; run numbers are frozen by a checkpoint, each run is summed on its
     own and the sums of the earlier runs of the group are added.
+
+    ``expect_small`` first asks for at most PINNED_ROWS rows: when that is all
+    of them, one sort of a local table replaces the distributed steps.
     """
     values = {name: F.col(e) if isinstance(e, str) else e for name, e in totals.items()}
     staged = df.select("*", *[v.alias(f"_v_{name}") for name, v in values.items()])
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    one_task = W.partitionBy(*group).orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
+    plain = [f"_v_{name}" for name in values]
+
+    def in_one_task(rows: DataFrame) -> DataFrame:
+        return rows.select("*", *[F.sum(f"_v_{n}").over(one_task).alias(n) for n in values]).drop("_run", *plain)
+
+    if expect_small:
+        pinned = pin_small(staged)
+        if pinned is not None:
+            return pin_small(in_one_task(pinned))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = staged.repartitionByRange(parts, *[F.col(c).asc() for c in group], *keys)
     frozen = cut_lineage(ranged.withColumn("_run", F.spark_partition_id()))
-    plain = [f"_v_{name}" for name in values]
-
     if frozen.count() <= one_task_rows:
-        window = W.partitionBy(*group).orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
-        out = frozen.select("*", *[F.sum(f"_v_{n}").over(window).alias(n) for n in values])
-        return out.drop("_run", *plain)
+        return in_one_task(frozen)
 
     per_run = frozen.groupBy(*group, "_run").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
     earlier = W.partitionBy(*group).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
@@ -60,53 +72,45 @@ def running_totals(
     return out.drop("_run", "_r", *plain, *[f"_o_{n}" for n in values], *[f"_g_{c}" for c in group])
 
 
-def exact_percentile(df: DataFrame, name: str, share: float, accuracy: int = 10_000, keep: int = 50_000) -> float | None:
+def exact_percentile(df: DataFrame, name: str, share: float, accuracy: int = 10_000, keep: int = 10_000) -> float | None:
     """Linearly interpolated percentile of a numeric column.
 
-    A sketch brackets the wanted ranks, one scan counts the rows below the
-    bracket, and only the distinct values inside it reach the driver. When
-    more than ``keep`` distinct values are left the bracket is narrowed again.
+    A sketch brackets the wanted ranks; a second pass counts the rows below the
+    bracket together with the distinct values inside it, at most ``keep`` of
+    which reach the driver. A bracket that holds more, or misses the ranks, is
+    drawn again from a finer sketch. The column alone is persisted, so its
+    expression is computed once.
     """
-    values = df.select(F.col(name).cast("double").alias("x")).filter(~missing("x"))
-    n = values.count()
-    if n == 0:
-        return None
-    position = share * (n - 1)
-    first, last = math.floor(position), math.ceil(position)
-    inside, below, size = values, 0, n
-    while True:
-        groups = None
-        if size <= keep:
-            groups = inside.groupBy("x").count().collect()
-        else:
+    values = df.select(F.col(name).cast("double").alias("x")).filter(~missing("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        while True:
             margin = 2.0 / accuracy
-            lo_share = max(0.0, (first - below) / size - margin)
-            hi_share = min(1.0, (last - below) / size + margin)
-            lo, hi = inside.agg(F.percentile_approx("x", [lo_share, hi_share], accuracy).alias("p")).first()["p"]
-            row = inside.agg(
-                F.count_if(F.col("x") < lo).alias("less"), F.count_if(F.col("x").between(lo, hi)).alias("within")
-            ).first()
-            if below + row["less"] > first or below + row["less"] + row["within"] <= last:
-                accuracy *= 2
-                continue
-            shrunk = row["within"] < size
-            below, size = below + row["less"], row["within"]
-            inside = inside.filter(F.col("x").between(lo, hi))
-            if lo == hi:
-                return float(lo)
-            counted = inside.groupBy("x").count()
-            if not shrunk:
-                accuracy *= 2
-            head = counted.limit(keep + 1).collect()
-            if len(head) <= keep:
-                groups = head
-        if groups is None:
-            continue
-        reached, found = below, []
-        for value, count in sorted((g["x"], g["count"]) for g in groups):
-            for rank in (first, last):
-                if reached <= rank < reached + count:
-                    found.append(value)
-            reached += count
-        low, high = found[0], found[-1]
-        return float(low + (high - low) * (position - first))
+            around = [max(0.0, share - margin), min(1.0, share + margin)]
+            row = values.agg(F.count("*").alias("n"), F.percentile_approx("x", around, accuracy).alias("p")).first()
+            if not row["n"]:
+                return None
+            position = share * (row["n"] - 1)
+            low, high = row["p"]
+            inside = F.when(F.col("x") >= low, F.col("x"))
+            counts = values.filter(F.col("x") <= high).groupBy(inside.alias("x")).agg(F.count("*").alias("n")).limit(keep + 2).collect()
+            found = _interpolate(counts, position) if len(counts) <= keep + 1 else None
+            if found is not None:
+                return found
+            accuracy *= 4
+    finally:
+        values.unpersist()
+
+
+def _interpolate(counts: Sequence, position: float) -> float | None:
+    """Value at a fractional rank; the null row counts what lies below the listed values."""
+    reached = sum(c["n"] for c in counts if c["x"] is None)
+    first, last = math.floor(position), math.ceil(position)
+    at: dict[int, float] = {}
+    for value, n in sorted((c["x"], c["n"]) for c in counts if c["x"] is not None):
+        for rank in (first, last):
+            if reached <= rank < reached + n:
+                at[rank] = value
+        reached += n
+    if first not in at or last not in at:
+        return None
+    return float(at[first] + (at[last] - at[first]) * (position - first))

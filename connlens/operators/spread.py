@@ -51,9 +51,14 @@ def pin_small(df: DataFrame, limit: int = PINNED_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def sized_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", limit: int = PINNED_ROWS) -> DataFrame:
-    """Broadcast the right side when its checked size allows it, else a salted shuffle join."""
+def sized_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", distinct: bool = False, limit: int = PINNED_ROWS) -> DataFrame:
+    """Broadcast the right side when its checked size allows it, else a salted shuffle join.
+
+    With ``distinct`` the right side may repeat rows. Its size is checked
+    before they are made distinct, so that a long list is left after a few
+    tasks and no shuffle is run for the check.
+    """
     pinned = pin_small(right, limit)
     if pinned is not None:
-        return left.join(F.broadcast(pinned), key, how)
-    return spread_join(left, right, key, how)
+        return left.join(F.broadcast(pinned.distinct() if distinct else pinned), key, how)
+    return spread_join(left, right.distinct() if distinct else right, key, how)

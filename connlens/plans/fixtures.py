@@ -17,8 +17,17 @@ FULL_MODEL = KernelModel(((0.0,) * 8, (0.5,) * 8), (0.8, 0.4), 0.125, 0.6)
 PACKET_SLOTS = [1, 2, 3, 4]
 
 
+# Layouts of the tables read here; naming them spares a look at the file before every query.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def conn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +99,9 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pick(values, index):
         return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
 
-    return scored(spark, sf_dir).select(
-        *[c for c in conn(spark, sf_dir).columns],
+    rows = scored(spark, sf_dir)
+    return rows.select(
+        *[c for c in rows.columns if c not in ("score", "prediction")],
         F.col("score").alias("anomaly_score"),
         (F.col("score") < 0).alias("is_anomaly"),
         F.when(rare, "persistence").otherwise(pick(categories, kind)).alias("label_category"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +59,16 @@ def read_lineage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LINEAGE).parquet(path).distinct()
 
 
-def nested_documents(lineage: DataFrame) -> DataFrame:
-    """The document shape again: one row per capture with the array of its distinct analyses."""
+def nested_documents(lineage: DataFrame, largest: int = 100_000) -> DataFrame:
+    """The document shape again: one row per capture with the array of its distinct analyses.
+
+    A document holds all analyses of its capture, so the largest one is
+    checked first; work on the flat table beyond that.
+    """
+    rows = lineage.distinct()
+    most = rows.groupBy("pcap_name").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if most > largest:
+        raise ValueError(f"a capture has {most} analyses; use the flat lineage table")
     entry = F.when(F.col("analysis_id").isNotNull(), F.struct("analysis_id", "anomaly_count", "total_connections"))
-    keys: Sequence[str] = ["pcap_name", "origin_type", "iface", "duration_seconds", "original_filename", "created"]
-    return lineage.distinct().groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("analysis_results"))
+    keys = ["pcap_name", "origin_type", "iface", "duration_seconds", "original_filename", "created"]
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("analysis_results"))

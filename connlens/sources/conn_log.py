@@ -103,7 +103,7 @@ def read_raw_log(spark: SparkSession, path: str | Sequence[str], mode: str = "pa
 
 def write_conn_log(lines: DataFrame, path: str, names: Sequence[str] = LOG_COLUMNS, partition: str | None = "scan_id") -> None:
     """Write ready-made lines as header-free text, one folder per scan; read them back with ``fields``."""
-    writer = lines.write.mode("error")
     if partition:
-        writer = writer.partitionBy(partition)
-    writer.text(path)
+        lines.hint("rebalance", partition).write.mode("error").partitionBy(partition).text(path)
+    else:
+        lines.write.mode("error").text(path)

@@ -31,8 +31,8 @@ def has_truth(df: DataFrame) -> bool:
 
 
 def write_results(df: DataFrame, path: str, file_format: str = "csv", mode: str = "error") -> None:
-    """One folder per scan."""
-    writer = df.write.mode(mode).partitionBy("scan_id")
+    """One folder per scan; large scans are split over several files, small ones are not scattered."""
+    writer = df.hint("rebalance", "scan_id").write.mode(mode).partitionBy("scan_id")
     if file_format == "csv":
         writer.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     else:

@@ -26,10 +26,10 @@ def publish(df: DataFrame, root: str, name: str, first: bool = False, partition:
         last = _pointers(spark, root).filter(F.col("name") == name).agg(F.max("version").alias("v")).first()["v"]
     version = (last or 0) + 1
     path = f"{root}/{name}/v{version}"
-    writer = df.write.mode("error")
     if partition:
-        writer = writer.partitionBy(partition)
-    writer.parquet(path)
+        df.hint("rebalance", partition).write.mode("error").partitionBy(partition).parquet(path)
+    else:
+        df.write.mode("error").parquet(path)
     pointer = spark.createDataFrame([(name, version, path)], "name string, version int, path string")
     pointer.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return version
