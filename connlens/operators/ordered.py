@@ -77,26 +77,29 @@ def exact_percentile(df: DataFrame, name: str, share: float, accuracy: int = 10_
 
     A sketch brackets the wanted ranks; a second pass counts the rows below the
     bracket together with the distinct values inside it, at most ``keep`` of
-    which reach the driver. A bracket that holds more, or misses the ranks, is
-    drawn again from a finer sketch. The column alone is persisted, so its
+    which reach the driver. A bracket that holds more is drawn again from a
+    finer sketch, one that misses the ranks is widened. The column alone is persisted, so its
     expression is computed once.
     """
     values = df.select(F.col(name).cast("double").alias("x")).filter(~missing("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    margin = 2.0 / accuracy
     try:
         while True:
-            margin = 2.0 / accuracy
             around = [max(0.0, share - margin), min(1.0, share + margin)]
             row = values.agg(F.count("*").alias("n"), F.percentile_approx("x", around, accuracy).alias("p")).first()
             if not row["n"]:
                 return None
             position = share * (row["n"] - 1)
-            low, high = row["p"]
+            low, high = row["p"] if row["n"] > keep else (-math.inf, math.inf)
             inside = F.when(F.col("x") >= low, F.col("x"))
             counts = values.filter(F.col("x") <= high).groupBy(inside.alias("x")).agg(F.count("*").alias("n")).limit(keep + 2).collect()
-            found = _interpolate(counts, position) if len(counts) <= keep + 1 else None
+            if len(counts) > keep + 1:
+                accuracy, margin = min(accuracy * 4, 2**30), margin / 4
+                continue
+            found = _interpolate(counts, position)
             if found is not None:
                 return found
-            accuracy *= 4
+            margin *= 4
     finally:
         values.unpersist()
 
