@@ -142,10 +142,10 @@ def evaluate(df: DataFrame, model: AttackModel, vector: str = "features", class_
     predicted = predict_classes(df, model, vector).select(
         F.col(class_column).alias("true_label"), F.col("predicted_class").alias("prediction"), F.col("classification.confidence").alias("confidence")
     )
-    summary = metrics.confident_accuracy(predicted, "true_label", "prediction", "confidence", model.threshold).withColumn("_one", F.lit(1))
-    hits = metrics.accuracy(predicted).select("accuracy", F.lit(1).alias("_one"))
+    hit = F.when(F.col("true_label") == F.col("prediction"), 1.0).otherwise(0.0)
+    summary = metrics.confident_accuracy(predicted, "true_label", "prediction", "confidence", model.threshold, F.avg(hit).alias("accuracy"))
     return {
-        "summary": hits.join(F.broadcast(summary), "_one").drop("_one"),
+        "summary": summary,
         "report": metrics.class_report(predicted),
         "confusion": metrics.confusion(predicted, classes=model.classes),
     }

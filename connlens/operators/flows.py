@@ -38,8 +38,13 @@ def connection_key(df: DataFrame) -> DataFrame:
     return df.withColumn("flow_key", key)
 
 
-def packet_keys(packets: DataFrame) -> DataFrame:
-    """One row per packet and key it can answer: its protocol class, and the addresses alone."""
+def addresses_alone(keyed: DataFrame) -> bool:
+    """Whether any connection is matched on its addresses alone."""
+    return bool(keyed.filter(F.col("flow_key").startswith("any/")).limit(1).collect())
+
+
+def packet_keys(packets: DataFrame, alone: bool = True) -> DataFrame:
+    """One row per packet and key it can answer: its protocol class and, with ``alone``, its addresses."""
     proto = _protocol(F.col("proto"))
     source, dest = F.col("src"), F.col("dst")
     ends = _pair(F.concat_ws("#", source, F.col("sport").cast("string")), F.concat_ws("#", dest, F.col("dport").cast("string")))
@@ -47,6 +52,8 @@ def packet_keys(packets: DataFrame) -> DataFrame:
         proto.isin("icmp", "sctp"), F.concat_ws("/", proto, _pair(source, dest))
     )
     anyone = F.concat_ws("/", F.lit("any"), _pair(source, dest))
+    if not alone:
+        return packets.withColumn("flow_key", special).filter(F.col("flow_key").isNotNull())
     both = packets.withColumns({"_special": special, "_any": anyone})
     return both.withColumn("flow_key", F.explode(F.array_compact(F.array("_special", "_any")))).drop("_special", "_any")
 
@@ -54,7 +61,7 @@ def packet_keys(packets: DataFrame) -> DataFrame:
 def flow_packets(packets: DataFrame, connections: DataFrame) -> DataFrame:
     """The packets, both directions, of every flow asked for; each packet once per flow key."""
     wanted = connection_key(connections).select("flow_key")
-    return sized_join(packet_keys(packets), wanted, "flow_key", "left_semi", distinct=True)
+    return sized_join(packet_keys(packets, addresses_alone(wanted)), wanted, "flow_key", "left_semi", distinct=True)
 
 
 def flow_totals(packets: DataFrame, connections: DataFrame) -> DataFrame:
@@ -63,10 +70,10 @@ def flow_totals(packets: DataFrame, connections: DataFrame) -> DataFrame:
     Packets are reduced to one row per flow key before the join, so a flow
     shared by many connections never pairs its packets with all of them.
     """
-    per_key = packet_keys(packets).groupBy("flow_key").agg(
+    keyed = connection_key(connections).select("uid", "flow_key")
+    per_key = packet_keys(packets, addresses_alone(keyed)).groupBy("flow_key").agg(
         F.count("*").alias("n_packets"), F.sum("length").alias("n_bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
-    keyed = connection_key(connections).select("uid", "flow_key")
     joined = spread_join(keyed, per_key, "flow_key").fillna(0, ["n_packets", "n_bytes"])
     return joined.select("uid", "n_packets", "n_bytes", "first_ts", "last_ts")
 

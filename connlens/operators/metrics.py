@@ -48,14 +48,15 @@ def accuracy(df: DataFrame, truth: str = "true_label", predicted: str = "predict
     return df.agg(F.count("*").alias("rows"), F.avg(F.when(F.col(truth) == F.col(predicted), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
-def confident_accuracy(df: DataFrame, truth: str, predicted: str, confidence: str, threshold: float = 0.7) -> DataFrame:
-    """Accuracy over the rows at or above the threshold (0 when none) and their share."""
+def confident_accuracy(df: DataFrame, truth: str, predicted: str, confidence: str, threshold: float = 0.7, *more: Column) -> DataFrame:
+    """Accuracy over the rows at or above the threshold (0 when none) and their share; ``more`` joins the same pass."""
     sure = F.col(confidence) >= threshold
     hit = sure & (F.col(truth) == F.col(predicted))
     return df.agg(
         F.count("*").alias("n"), F.count_if(sure).alias("confident"),
         ratio(F.count_if(hit), F.count_if(sure)).alias("confident_accuracy"),
         ratio(F.count_if(sure), F.count("*")).alias("confident_ratio"),
+        *more,
     )
 
 

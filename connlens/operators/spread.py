@@ -36,7 +36,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
-    picked = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id()), F.lit(salts)).cast("int")
+    plain = [F.col(f"`{f.name}`") for f in left.schema.fields if f.dataType.typeName() not in ("map", "struct", "array", "variant")]
+    picked = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(salts)).cast("int")
     salted = left.withColumn("_salt", F.when(is_hot, picked).otherwise(F.lit(0)))
     every = F.array(*[F.lit(i) for i in range(salts)])
     repeated = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
@@ -62,3 +63,11 @@ def sized_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", d
     if pinned is not None:
         return left.join(F.broadcast(pinned.distinct() if distinct else pinned), key, how)
     return spread_join(left, right.distinct() if distinct else right, key, how)
+
+
+def side_by_side(rows: Sequence[DataFrame]) -> DataFrame:
+    """One-row frames with different columns as one row, without a join."""
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from connlens.functions.scalars import ratio, vector_from_text
+from connlens.operators.spread import side_by_side
 
 
 def class_balance(df: DataFrame, category: str = "attack_category", least_ratio: float = 0.2) -> DataFrame:
@@ -75,11 +76,7 @@ def validate_labels(
         parts.append(confidence_mix(df, confidence).select("high_share"))
         advice.append(F.when(F.col("high_share") > 0.8, "Very high percentage of high-confidence labels. Consider reviewing labeling criteria.")
                       .when(F.col("high_share") < 0.3, "Low percentage of high-confidence labels. Consider improving label quality."))
-    # One row each: put them side by side under a constant key.
-    keyed = [p.withColumn("_one", F.lit(1)) for p in parts]
-    row = keyed[0]
-    for part in keyed[1:]:
-        row = row.join(F.broadcast(part), "_one")
+    row = side_by_side(parts)
 
     total = F.col("total_samples")
     enough, varied = total >= min_samples, classes >= min_categories

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from connlens.operators import attack_model, hybrid, labels, metrics, scaling, scoring
 from connlens.operators.one_class import fit_one_class, score_one_class
+from connlens.operators.spread import side_by_side
 from connlens.plans import fixtures as fx
 from connlens.plans.label_queries import now
 from connlens.plans.registry import query
@@ -146,10 +147,8 @@ def verified_eval(spark, sf_dir):
 def performance_panel(spark, sf_dir):
     """Label statistics, model facts and the summary of the test side in one record."""
     model, parts = _store_model(spark, sf_dir)
-    stats = labels.label_statistics(fx.store(spark, sf_dir)).withColumn("_one", F.lit(1))
-    summary = parts["summary"].withColumn("_one", F.lit(1))
-    facts = [F.lit(v).alias(k) for k, v in model.facts.items()]
-    return stats.join(F.broadcast(summary), "_one").select("*", F.lit(model.kind).alias("kind"), *facts).drop("_one")
+    row = side_by_side([labels.label_statistics(fx.store(spark, sf_dir)), parts["summary"]])
+    return row.select("*", F.lit(model.kind).alias("kind"), *[F.lit(v).alias(k) for k, v in model.facts.items()])
 
 
 @query("""

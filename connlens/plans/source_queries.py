@@ -120,14 +120,14 @@ def capture_metadata(spark, sf_dir):
 def table_versions(spark, sf_dir):
     """Two published versions of the store; the second holds the upsert."""
     root = scratch_path(spark, "store")
-    tables.publish(fx.store(spark, sf_dir), root, "training", first=True)
-    old = tables.current(spark, root, "training")
-    renewed = old.filter("anomaly_score < -0.4").withColumns({
+    tables.publish(fx.store(spark, sf_dir), root, "training", buckets=8, first=True)
+    base = fx.store(spark, sf_dir)
+    renewed = base.filter("anomaly_score < -0.4").withColumns({
         "service": F.lit("renewed"), "label_category": F.lit("malware"), "label_subcategory": F.lit("infected-host"),
         "confidence_level": F.lit("high"), "training_source": F.lit("manual"), "review_status": F.lit("needs_review"),
     })
-    added = old.filter("proto = 'icmp'").withColumn("uid", F.concat(F.lit("N"), F.col("uid")))
-    tables.publish(labels.upsert(old, renewed.unionByName(added)), root, "training")
+    new = renewed.unionByName(base.filter("proto = 'icmp'").withColumn("uid", F.concat(F.lit("N"), F.col("uid"))))
+    tables.change(root, "training", new.select("uid"), lambda old: labels.upsert(old, new))
     return tables.current(spark, root, "training").select(*STORE_FIELDS.split(", "))
 
 

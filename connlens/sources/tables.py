@@ -1,48 +1,81 @@
-"""Versioned parquet tables: a change writes a new folder, then one pointer row names it.
+"""Versioned parquet tables in buckets of the key.
 
-A job never overwrites the files it reads, and a reader sees the old or the
-new version as a whole.
+A change writes new folders for the buckets it touches and then names them in
+pointer rows. A job never overwrites the files it reads, a reader sees whole
+buckets, and labelling a few rows rewrites a few buckets, not the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from connlens.operators.filters import export_record
 
-POINTER = "name string, version int, path string, created_at timestamp"
+POINTER = "name string, version int, bucket int, buckets int, key string, path string"
+BUCKETS = 64
+
 
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
-def _pointers(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(POINTER).parquet(f"{root}/pointers")
 
+def _pointers(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(POINTER).parquet(f"{root}/pointers").filter(F.col("name") == name)
 
-def publish(df: DataFrame, root: str, name: str, first: bool = False, partition: str | None = None) -> int:
-    """Write the next version of a table and point to it. ``first`` starts the table."""
+
+def _write(df: DataFrame, root: str, name: str, version: int, key: str, buckets: int, touched: list[int]) -> int:
     spark = df.sparkSession
-    last = None
-    if not first:
-        last = _pointers(spark, root).filter(F.col("name") == name).agg(F.max("version").alias("v")).first()["v"]
-    version = (last or 0) + 1
     path = f"{root}/{name}/v{version}"
-    if partition:
-        df.hint("rebalance", partition).write.mode("error").partitionBy(partition).parquet(path)
-    else:
-        df.write.mode("error").parquet(path)
-    pointer = spark.createDataFrame([(name, version, path)], "name string, version int, path string")
-    pointer.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+    df.withColumn("_bucket", bucket_of(key, buckets)).hint("rebalance", "_bucket").write.mode("error").partitionBy("_bucket").parquet(path)
+    # An empty frame leaves a folder without buckets.
+    written = spark.read.schema("_bucket int").option("recursiveFileLookup", False).parquet(path).select("_bucket").distinct()
+    filled = {r["_bucket"] for r in written.collect() if r["_bucket"] is not None}
+    rows = [(name, version, b, buckets, key, f"{path}/_bucket={b}" if b in filled else None) for b in touched]
+    spark.createDataFrame(rows, POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return version
 
 
-def current(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    rows = _pointers(spark, root).filter(F.col("name") == name)
+def publish(df: DataFrame, root: str, name: str, key: str = "uid", buckets: int = BUCKETS, first: bool = False) -> int:
+    """Write a whole new version of a table. ``first`` starts the table."""
+    spark = df.sparkSession
+    last = None
+    if not first:
+        last = _pointers(spark, root, name).agg(F.max("version").alias("v")).first()["v"]
+    return _write(df, root, name, (last or 0) + 1, key, buckets, list(range(buckets)))
+
+
+def current(spark: SparkSession, root: str, name: str, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """The table as of its last or the given version, or some of its buckets."""
+    rows = _pointers(spark, root, name)
     if version is not None:
-        rows = rows.filter(F.col("version") == version)
-    path = rows.agg(F.max_by("path", "version").alias("p")).first()["p"]
-    if path is None:
-        raise ValueError(f"table {name!r} has no version {version or ''} under {root}".replace("  ", " "))
-    return spark.read.parquet(path)
+        rows = rows.filter(F.col("version") <= version)
+    newest = rows.groupBy("bucket").agg(F.max_by("path", "version").alias("path")).collect()
+    if not newest:
+        raise ValueError(f"table {name!r} has no such version under {root}")
+    every = [r["path"] for r in newest if r["path"]]
+    if not every:
+        raise ValueError(f"table {name!r} holds no rows")
+    chosen = [r["path"] for r in newest if r["path"] and (buckets is None or r["bucket"] in buckets)]
+    if chosen:
+        return spark.read.parquet(*chosen)
+    return spark.read.parquet(every[0]).limit(0)
+
+
+def change(root: str, name: str, keys: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> int:
+    """Rewrite the buckets that hold ``keys``: ``apply`` maps their old rows to their new rows.
+
+    The rows ``apply`` adds must have keys from ``keys``.
+    """
+    spark = keys.sparkSession
+    last = _pointers(spark, root, name).agg(F.max_by(F.struct("version", "buckets", "key"), "version").alias("p")).first()["p"]
+    key, buckets = last["key"], last["buckets"]
+    touched = sorted(r[0] for r in keys.select(bucket_of(key, buckets)).distinct().collect())
+    if not touched:
+        return last["version"]
+    return _write(apply(current(spark, root, name, buckets=set(touched))), root, name, last["version"] + 1, key, buckets, touched)
 
 
 def export_training(df: DataFrame, path: str, file_format: str = "csv", mode: str = "error") -> None:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from connlens.operators import labels
 from connlens.sources import captures, conn_log, labelled, results, tables
 from connlens.schemas import LOG_COLUMNS
 from helpers import at, rows
@@ -118,9 +119,22 @@ def test_captures_with_and_without_document(spark, tmp_path):
     assert captures.read_lineage(spark, str(tmp_path / "l")).count() == 1
 
 
-def test_published_versions(spark, tmp_path):
+def test_a_change_rewrites_only_the_touched_buckets(spark, tmp_path):
     root = str(tmp_path / "t")
-    first = spark.createDataFrame([(1,)], "a int")
-    assert tables.publish(first, root, "x", first=True) == 1
-    assert tables.publish(tables.current(spark, root, "x").union(first), root, "x") == 2
-    assert tables.current(spark, root, "x").count() == 2 and tables.current(spark, root, "x", 1).count() == 1
+    first = spark.range(40).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("uid"), F.lit(0).alias("v"))
+    assert tables.publish(first, root, "x", buckets=8, first=True) == 1
+    keys = spark.createDataFrame([("U3",), ("U7",)], "uid string")
+    new = keys.withColumn("v", F.lit(1))
+    assert tables.change(root, "x", keys, lambda old: labels.upsert(old, new)) == 2
+    now = tables.current(spark, root, "x")
+    assert now.count() == 40 and rows(now.filter("v = 1")) == [("U3", 1), ("U7", 1)]
+    assert len(list((tmp_path / "t" / "x" / "v2").glob("_bucket=*"))) <= 2
+    assert rows(tables.current(spark, root, "x", version=1)) == rows(first)
+    everyone = first.select("uid")
+    assert tables.change(root, "x", keys, lambda old: labels.delete_uids(old, keys)) == 3
+    assert tables.current(spark, root, "x").count() == 38
+    tables.change(root, "x", everyone, lambda old: labels.delete_uids(old, everyone.filter("uid <> 'U1'")))
+    assert rows(tables.current(spark, root, "x")) == [("U1", 0)]
+    assert tables.change(root, "x", keys.limit(0), lambda old: old) == 4
+    with pytest.raises(ValueError):
+        tables.current(spark, root, "absent")
