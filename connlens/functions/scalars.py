@@ -54,6 +54,11 @@ def seconds_between(a: str | Column, b: str | Column) -> Column:
     return F.abs(F.unix_micros(column(a)) - F.unix_micros(column(b))) / F.lit(1e6)
 
 
+def zoned_time(c: str | Column) -> Column:
+    """ISO text with its offset, so that it reads back as the same instant in any session zone."""
+    return F.date_format(column(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+
+
 # --- texts ---------------------------------------------------------------
 
 def file_name(path: str | Column) -> Column:

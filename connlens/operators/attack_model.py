@@ -23,7 +23,7 @@ from connlens.functions.scalars import split_class
 from connlens.operators import metrics
 from connlens.operators.filters import browse, check_trainable, frequent_classes, page, trainable, with_class
 from connlens.operators.ordered import running_totals
-from connlens.operators.spread import sized_join
+from connlens.operators.spread import side_by_side, sized_join
 
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2}
 BOOST = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 10, "minInstancesPerNode": 2}
@@ -178,6 +178,20 @@ def train_from_store(
     return model, evaluate(split.filter("side = 'test'"), model, vector)
 
 
+def session_record(name: str, version: str, model: AttackModel, parts: dict[str, DataFrame], notes: str | None = None) -> DataFrame:
+    """One row for the table of training sessions: sizes, accuracy, unweighted class means and the confusion matrix as JSON."""
+    cell = F.struct("true_label", "predicted", "n")
+    matrix = parts["confusion"].agg(F.to_json(F.sort_array(F.collect_list(cell))).alias("confusion_matrix"))
+    means = parts["report"].agg(*[F.avg(c).alias(s) for c, s in (("precision", "precision_score"), ("recall", "recall_score"), ("f1_score", "f1_score"))])
+    row = side_by_side([parts["summary"].select(F.col("accuracy").alias("accuracy_score")), means, matrix])
+    return row.select(
+        F.lit(name).alias("session_name"), F.lit(version).alias("model_version"),
+        F.lit(model.facts.get("training_samples", model.facts.get("training_rows"))).cast("bigint").alias("training_data_count"),
+        "accuracy_score", "precision_score", "recall_score", "f1_score", "confusion_matrix",
+        F.current_timestamp().alias("completed_at"), F.lit(notes).cast("string").alias("notes"),
+    )
+
+
 def folds(df: DataFrame, class_column: str = "class_name", key: str = "uid", count: int = 5, seed: int = 42) -> DataFrame:
     """Stratified fold number per row."""
     ranked = ranked_in_class(df, class_column, key, seed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from connlens.operators.ordered import running_totals
@@ -101,3 +102,9 @@ def anomaly_context(packets: DataFrame, anomalies: DataFrame, last: int = 500) -
     key = F.concat_ws("/", F.col("_block").cast("string"), "iface")
     met = spread_join(asked.withColumn("_key", key), seen.withColumn("_key", key).drop("iface", "_block"), "_key", "inner").filter((F.col("_p") <= F.col("_r")) & (F.col("_p") > F.col("_r") - last))
     return met.select("uid", "iface", "pkt_id", "packet_ts", (F.col("_r") - F.col("_p") + 1).alias("back"))
+
+
+def newest_packets(packets: DataFrame, newest: int = 5000) -> DataFrame:
+    """The newest packets of each interface. Every task keeps at most ``newest`` rows per interface before the shuffle."""
+    order = W.partitionBy("iface").orderBy(F.col("ts").desc(), F.col("pkt_id").desc())
+    return packets.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= newest).drop("_n")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from connlens.functions.scalars import fit_width, iso_time, zero_if_missing
+from connlens.functions.scalars import fit_width, zero_if_missing, zoned_time
 from connlens.operators import encoding, scaling
 from connlens.operators.one_class import KernelModel, OneClassModel, fit_one_class, label, score_kernel, score_one_class
 from connlens.operators.registry import latest_version
@@ -48,7 +48,7 @@ def result_rows(scored: DataFrame) -> DataFrame:
     """``[scan_id,] uid, timestamp, score, prediction``; a row without uid is named after its line."""
     uid = F.col("uid") if "uid" in scored.columns else F.lit(None).cast("string")
     line = F.col("line_no").cast("string") if "line_no" in scored.columns else F.lit("0")
-    time = iso_time("ts") if "ts" in scored.columns else iso_time(F.current_timestamp())
+    time = zoned_time("ts") if "ts" in scored.columns else zoned_time(F.current_timestamp())
     lead = ["scan_id"] if "scan_id" in scored.columns else []
     return scored.select(
         *lead, F.coalesce(uid, F.concat(F.lit("unknown-"), line)).alias("uid"), time.alias("timestamp"), "score", "prediction"

@@ -16,29 +16,34 @@ PINNED_ROWS = 10_000
 
 
 def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Heavy hitters of a column from one bounded sketch; no shuffle of the data."""
+    """Heavy hitters of a column, None among them, from one bounded sketch; no shuffle of the data."""
     tracked = int(20 / share)
-    row = df.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {int(1 / share)}, {tracked})").alias("top")).first()
+    row = df.agg(
+        F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"),
+        F.expr(f"approx_top_k(`{key}`, {int(1 / share)}, {tracked})").alias("top"),
+    ).first()
     least = max(2, int(row["n"] * share))
-    return [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= least]
+    found = [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= least]
+    return found + ([None] if row["nulls"] >= least else [])
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: Sequence | None = None, salts: int = SALTS) -> DataFrame:
     """Join on ``key`` with the hot keys of the left side salted.
 
     Left rows of a hot key get a salt from their content, the matching right
-    rows are repeated once per salt, all other rows keep salt 0. The result is
-    that of the plain join. ``hot`` lists the keys when they are known.
+    rows are repeated once per salt, all other rows keep salt 0. Null keys,
+    which match nothing, are only spread. The result is that of the plain
+    join. ``hot`` lists the keys when they are known.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be salted on the left side")
     hot = hot_values(left, key) if hot is None else list(hot)
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
+    is_hot = F.coalesce(F.col(key).isin([v for v in hot if v is not None]), F.lit(False))
     plain = [F.col(f"`{f.name}`") for f in left.schema.fields if f.dataType.typeName() not in ("map", "struct", "array", "variant")]
     picked = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(is_hot, picked).otherwise(F.lit(0)))
+    salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), picked).otherwise(F.lit(0)))
     every = F.array(*[F.lit(i) for i in range(salts)])
     repeated = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -134,3 +134,10 @@ FROM an JOIN pk ON pk.iface = an.iface AND pk.r <= an.r AND pk.r > an.r - 500
 """)
 def anomaly_context(spark, sf_dir):
     return flows.anomaly_context(fx.packet(spark, sf_dir), fx.scored(spark, sf_dir).filter("score < -0.5"))
+
+
+@query("""
+SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY iface ORDER BY ts DESC, pkt_id DESC) AS n FROM packet) p WHERE n <= 5000
+""")
+def newest_packets(spark, sf_dir):
+    return flows.newest_packets(fx.packet(spark, sf_dir))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from connlens.functions.scalars import iso_time
+from connlens.functions.scalars import zoned_time
 from connlens.operators.scoring import Detector, score_log
 from connlens.schemas import LOG_COLUMNS
 from connlens.sources.conn_log import parse_lines
@@ -32,10 +32,10 @@ def detect(conns: DataFrame, detector: Detector, nan_policy: str = "post", cut:
         rows = rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["uid"])
     scored = score_log(rows, detector, nan_policy, cut).filter(F.col("prediction") == "anomaly")
     return scored.select(
-        iso_time("ts").alias("timestamp"),
+        zoned_time("ts").alias("timestamp"),
         F.coalesce("uid", F.lit("unknown")).alias("uid"),
         "score", "prediction",
-        iso_time(F.current_timestamp()).alias("detected_at"),
+        zoned_time(F.current_timestamp()).alias("detected_at"),
         F.to_json(F.struct(*conns.columns)).alias("raw_data"),
     )
 

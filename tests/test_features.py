@@ -188,4 +188,4 @@ def test_scores_carry_the_log_columns(spark):
     detector = Detector(encoding.fit_encoder(log), scaling.fit_scaler(log, ["duration", "orig_bytes"]), KernelModel(((0.0, 0.0),), (1.0,), 0.5, 0.5))
     scored = score_log(log, detector)
     assert set(log.columns) <= set(scored.columns)
-    assert result_rows(scored).filter("uid = 'C1'").first()["timestamp"] == at(1).isoformat() + ".000000"
+    assert result_rows(scored).filter("uid = 'C1'").first()["timestamp"] == at(1).isoformat() + ".000000+00:00"

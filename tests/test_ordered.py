@@ -51,7 +51,8 @@ def test_percentile_with_a_value_holding_a_third_and_a_tight_limit(spark):
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)], "key string, v int").repartition(4)
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4)], "key string, w int")
-    assert hot_values(left, "key") == ["hot"]
+    left = left.unionByName(spark.createDataFrame([(None, 1000 + i) for i in range(100)], left.schema))
+    assert hot_values(left, "key") == ["hot", None]
     assert rows(spread_join(left, right, "key", how)) == rows(left.join(right, "key", how))
     assert rows(sized_join(left, right, "key", how)) == rows(left.join(right, "key", how))
     assert rows(sized_join(left, right, "key", how, limit=1)) == rows(left.join(right, "key", how))
