@@ -16,14 +16,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from connlens.functions.scalars import split_class
 from connlens.operators import metrics
 from connlens.operators.filters import browse, check_trainable, frequent_classes, page, trainable, with_class
 from connlens.operators.ordered import running_totals
-from connlens.operators.spread import side_by_side, sized_join
+from connlens.operators.spread import pin_small, side_by_side, sized_join
 
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2}
 BOOST = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 10, "minInstancesPerNode": 2}
@@ -51,23 +51,43 @@ def check_threshold(value: float) -> float:
     return value
 
 
-def ranked_in_class(df: DataFrame, class_column: str, key: str, seed: int) -> DataFrame:
-    """Position of each row in its class along a seeded hash of the key, and the size of the class.
+def _place(key: str, seed: int) -> Column:
+    """Position of a row in its class: a seeded hash of the key, then the key. Independent of the partitioning."""
+    text = F.col(key).cast("string")
+    return F.struct(F.xxhash64(text, F.lit(seed)).alias("h"), text.alias("k"))
 
-    The position depends on the key alone, not on the partitioning, and a
-    class holding most of the rows is ranked by many tasks.
+
+def class_cuts(df: DataFrame, class_column: str, key: str, shares: Sequence[float], seed: int) -> DataFrame:
+    """Per class, the places at rank round(share * class size), in order; shares that round to rank 0 are counted in ``_none``.
+
+    Only (class, place) is ranked, over many tasks; the rows themselves, with
+    their vectors, are later compared with these few places and never shuffled.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
-    ranked = running_totals(hashed, ["_h", key], {"_rank": F.lit(1)}, [class_column])
-    sizes = df.groupBy(class_column).agg(F.count("*").alias("_size"))
-    return sized_join(ranked, sizes, class_column, "inner").drop("_h")
+    places = df.select(F.col(class_column).alias("_class"), _place(key, seed).alias("_p")).select("_class", "_p.h", "_p.k")
+    ranked = running_totals(places, ["h", "k"], {"_rank": F.lit(1)}, ["_class"])
+    sizes = places.groupBy("_class").agg(F.count("*").alias("_size"))
+    ranks = F.array(*[F.round(F.lit(s) * F.col("_size")).cast("bigint") for s in shares])
+    wanted = sizes.select("_class", F.explode(ranks).alias("_rank"))
+    few = pin_small(wanted)
+    wanted = wanted if few is None else F.broadcast(few)
+    found = wanted.filter("_rank > 0").join(ranked, ["_class", "_rank"])
+    cuts = found.groupBy("_class").agg(F.sort_array(F.collect_list(F.struct("h", "k"))).alias("_cuts"))
+    none = wanted.groupBy("_class").agg(F.count_if(F.col("_rank") == 0).alias("_none"))
+    return none.join(cuts, "_class", "left").withColumnRenamed("_class", class_column)
+
+
+def passed_cuts(df: DataFrame, class_column: str, key: str, shares: Sequence[float], seed: int, name: str) -> DataFrame:
+    """How many of its class's cuts lie before each row: 0 for the first share, 1 for the next, ..."""
+    cut = sized_join(df, class_cuts(df, class_column, key, shares, seed), class_column, "inner")
+    before = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<struct<h:bigint,k:string>>")), lambda c: c < F.col("_place")))
+    placed = cut.withColumn("_place", _place(key, seed))
+    return placed.withColumn(name, (before + F.col("_none")).cast("int")).drop("_cuts", "_none", "_place")
 
 
 def stratified_split(df: DataFrame, class_column: str = "class_name", key: str = "uid", test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``side``: exactly round(share * class size) rows of each class are ``test``."""
-    ranked = ranked_in_class(df, class_column, key, seed)
-    test = F.col("_rank") <= F.round(F.lit(test_share) * F.col("_size"))
-    return ranked.withColumn("side", F.when(test, "test").otherwise("train")).drop("_rank", "_size")
+    """Adds ``side``: exactly round(share * class size) rows of each class are ``test``. Rows of one key stay together."""
+    part = passed_cuts(df, class_column, key, [test_share], seed, "_part")
+    return part.withColumn("side", F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
 
 
 def class_sizes(df: DataFrame, class_column: str = "class_name") -> dict[str, int]:
@@ -194,8 +214,7 @@ def session_record(name: str, version: str, model: AttackModel, parts: dict[str,
 
 def folds(df: DataFrame, class_column: str = "class_name", key: str = "uid", count: int = 5, seed: int = 42) -> DataFrame:
     """Stratified fold number per row."""
-    ranked = ranked_in_class(df, class_column, key, seed)
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % count).cast("int")).drop("_rank", "_size")
+    return passed_cuts(df, class_column, key, [i / count for i in range(1, count)], seed, "fold")
 
 
 def _search(df: DataFrame, grid: Mapping[str, Sequence], kind: str, vector: str, class_column: str, key: str, count: int, seed: int, parallelism: int):

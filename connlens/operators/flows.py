@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from connlens.operators.ordered import running_totals
 from connlens.operators.spread import sized_join, spread_join
+from connlens.session import cut_lineage
 
 # IP protocol numbers; the other protocols are matched on addresses alone.
 PROTOCOL_NUMBERS = {"icmp": 1, "tcp": 6, "udp": 17, "sctp": 132}
@@ -90,7 +91,8 @@ def anomaly_context(packets: DataFrame, anomalies: DataFrame, last: int = 500) -
     stream = packets.select("iface", "ts", F.lit(0).alias("kind"), F.col("pkt_id").cast("string").alias("key"), "pkt_id").unionByName(
         anomalies.select("iface", "ts", F.lit(1).alias("kind"), F.col("uid").alias("key")), allowMissingColumns=True
     ).withColumn("_order", F.when(F.col("kind") == 0, F.col("pkt_id")).otherwise(F.lit(0)))
-    numbered = running_totals(stream, ["ts", "kind", "_order", "key"], {"rank": F.lit(1) - F.col("kind")}, ["iface"])
+    # Both sides read the numbers, so they are written once.
+    numbered = cut_lineage(running_totals(stream, ["ts", "kind", "_order", "key"], {"rank": F.lit(1) - F.col("kind")}, ["iface"]))
     seen = numbered.filter("kind = 0").select(
         "iface", F.floor((F.col("rank") - 1) / last).alias("_block"), "pkt_id", F.col("ts").alias("packet_ts"), F.col("rank").alias("_p")
     )

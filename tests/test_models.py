@@ -164,3 +164,14 @@ def test_training_from_the_store(spark):
         attack_model.train_from_store(store.limit(5), numTrees=2)
     with pytest.raises(ValueError, match="Insufficient"):
         attack_model.evaluate_verified(store.limit(5), model)
+
+
+def test_folds_are_balanced_in_every_class(spark):
+    df = vectors(spark)
+    counts = attack_model.folds(df, count=4).groupBy("class_name", "fold").count().collect()
+    for kind in {r["class_name"] for r in counts}:
+        sizes = [r["count"] for r in counts if r["class_name"] == kind]
+        assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+    tiny = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y")], "uid string, class_name string")
+    assert rows(attack_model.stratified_split(tiny), "uid", "side") == [("a", "train"), ("b", "train"), ("c", "train")]
+    assert attack_model.folds(tiny, count=5).filter("fold BETWEEN 0 AND 4").count() == 3
