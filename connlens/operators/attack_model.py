@@ -90,8 +90,11 @@ def stratified_split(df: DataFrame, class_column: str = "class_name", key: str =
     return part.withColumn("side", F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
 
 
-def class_sizes(df: DataFrame, class_column: str = "class_name") -> dict[str, int]:
-    return {r[0]: r[1] for r in df.groupBy(class_column).count().collect()}
+def class_sizes(df: DataFrame, class_column: str = "class_name", most: int = 1000) -> dict[str, int]:
+    rows = df.groupBy(class_column).count().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} classes in {class_column!r}: not a class column")
+    return {r[0]: r[1] for r in rows}
 
 
 def prepare(df: DataFrame, classes: Sequence[str], vector: str = "features", class_column: str = "class_name", sizes: Mapping[str, int] | None = None) -> DataFrame:

@@ -12,7 +12,10 @@ import check  # noqa: E402
 import __spark_entry__ as entry_points  # noqa: E402
 
 # Fits that take long; the checker in tools/ runs them too.
-SLOW = {"grid_search", "cross_validate", "boost_train", "full_retrain"}
+SLOW = {
+    "grid_search", "cross_validate", "boost_train", "full_retrain", "performance_panel", "training_session", "retrain_labelled",
+    "feature_importance",
+}
 
 
 @pytest.fixture(scope="module")
