@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from connlens.plans.views_sql import VIEWS
+from connlens.session import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +22,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or run.__name__
         if key in QUERIES:
             raise ValueError(f"query {key!r} is registered twice")
-        QUERIES[key] = run
+        QUERIES[key] = shipped(run)
         if sql is not None:
             text = sql.strip()
             ORACLES[key] = f"WITH {VIEWS}{',' if text.startswith('+') else ''}\n{text.lstrip('+')}"

@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    # The driver serves the archive to the workers, so its own folder is enough.
+    archive = os.path.join(tempfile.mkdtemp(prefix="connlens-"), "connlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(PACKAGE):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+def shipped(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The same query, after the package is sent to the workers of its session."""
+
+    @functools.wraps(run)
+    def query(spark: SparkSession, *args) -> DataFrame:
+        ship_package(spark)
+        return run(spark, *args)
+
+    return query
+
 
 def build_session(app: str = "connlens", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = (
@@ -26,6 +60,7 @@ def build_session(app: str = "connlens", master: str | None = None, shuffle_part
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
