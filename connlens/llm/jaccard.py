@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from connlens.llm.common import mixed, quoted, saved, table, text_batches, tokens
+from connlens.llm.common import fresh, mixed, quoted, saved, table, text_batches, tokens
 from connlens.llm.components import components
 
 WORDS = 5
@@ -163,9 +163,8 @@ def _verify(frame: pd.DataFrame, threshold: float, keep: list[int]) -> pd.DataFr
             for p, q in zip(x.tolist(), y.tolist(), strict=True):
                 least[p] = min(least.get(p, nodes[other][q]), nodes[other][q])
             out += [(nodes[own][p], int(links[p]), q) for p, q in least.items()]
-            if own == 0:
-                # One link to the smallest partner does not join a piece whole; the other side's links and these do.
-                out += _joined(nodes, i, j)
+        # The smallest partners alone need not hold a component together; a forest does.
+        out += _joined(nodes, i, j)
     return pd.DataFrame(out, columns=["node", "links", "other"])
 
 
@@ -189,7 +188,11 @@ def _joined(nodes: list[list], i: np.ndarray, j: np.ndarray) -> list[tuple]:
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc, class_id, n_links): one row per input row; n_links other rows reach the threshold with it."""
+    """(doc, class_id, n_links, node, leads): one row per input row.
+
+    n_links other rows reach the threshold with it; ``node`` is the digest of
+    its text; ``leads`` marks the row, or equal rows, that stand for the class.
+    """
     rows = docs.select(quoted(key).alias("doc"), F.coalesce(quoted(text), F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     schema = f"node binary, doc {rows.schema['doc'].dataType.simpleString()}, n long, sig binary"
 
@@ -221,15 +224,27 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     classes = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "doc", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min("doc").alias("class_id"))
-    of_node = known.join(least, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    leader = known.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("absent"), "doc", "node")).alias("leader"))
+    of_node = known.join(leader, "root").select("node", "leader", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc", "node").join(of_node, "node", "left")
     has = F.col("n_links").isNotNull()
-    return out.select("doc", F.when(has, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    leads = ~has | ((F.col("node") == F.col("leader.node")) & F.col("doc").eqNullSafe(F.col("leader.doc")))
+    return out.select("doc", F.when(has, F.col("leader.doc")).otherwise(F.col("doc")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "node", leads.alias("leads"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class that has links, all columns as they are; every other row stays."""
+    found = similar(docs, key, text, **options).filter("n_links > 0")
+    judged = saved(found.select(F.col("doc").alias("_doc"), F.col("node").alias("_node"), F.col("leads").alias("_leads")).distinct(), "judged")
+    digest = fresh(docs, "_digest")
+    rows = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(quoted(text), F.lit("")))))
+    same = (rows[digest] == judged["_node"]) & quoted(key).eqNullSafe(judged["_doc"])
+    first = rows.join(judged.filter("_leads"), same, "left_semi").dropDuplicates([digest, key])
+    return rows.join(judged, same, "left_anti").unionByName(first).drop(digest)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+    return similar(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "class_id", "n_links")
 
 
 def _sql() -> str:
