@@ -1,4 +1,4 @@
-"""Connected components of an edge list, by smallest labels and shortened paths."""
+"""Connected components of an edge list, by smallest neighbours and contracted edges."""
 
 from __future__ import annotations
 
@@ -9,18 +9,26 @@ from connlens.llm.common import saved
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): every node of an edge with the smallest node of its component.
+    """(node, root): every node of an edge, and one node that stands for its component.
 
-    In each round a node takes the smallest label of its neighbours, then the
-    label of its label, which halves the paths. Each round is a written table.
+    In each round a node points to its smallest neighbour, if that is smaller,
+    and then to where that one points. The edges are contracted to these nodes;
+    those inside one node go, so that few are left after a round or two. Each
+    round is a written table.
     """
-    one, two = F.col(a), F.col(b)
-    both = edges.filter(one != two).select(F.explode(F.array(F.struct(one.alias("x"), two.alias("y")), F.struct(two.alias("x"), one.alias("y")))).alias("e"))
-    links = saved(both.select("e.x", "e.y").distinct(), "links")
-    labels = saved(links.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("root")).withColumn("moved", F.lit(True)), "labels")
-    while labels.filter("moved").limit(1).count():
-        near = links.join(labels.select(F.col("node").alias("y"), F.col("root").alias("r")), "y").groupBy(F.col("x").alias("node")).agg(F.min("r").alias("r"))
-        hooked = labels.select("node", F.col("root").alias("old")).join(near, "node").select("node", "old", F.least("old", "r").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = saved(hooked.join(up, "root").select("node", F.least("root", "top").alias("root"), (F.least("root", "top") != F.col("old")).alias("moved")), "labels")
-    return labels.select("node", "root")
+    links = saved(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x != y").distinct(), "links")
+    labels = None
+    while labels is None or links.limit(1).count():
+        ends = links.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
+        to = saved(ends.groupBy(F.col("e.x").alias("node")).agg(F.min("e.y").alias("near")).select("node", F.least("node", "near").alias("up")), "pointers")
+        top = to.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        to = saved(to.join(top, "up").select("node", "top"), "pointers")
+        if labels is None:
+            labels = to.withColumnRenamed("top", "root")
+        else:
+            moved = labels.join(to.select(F.col("node").alias("root"), "top"), "root", "left")
+            labels = saved(moved.select("node", F.coalesce("top", "root").alias("root")), "labels")
+        one = links.join(to.select(F.col("node").alias("x"), F.col("top").alias("new_x")), "x")
+        two = one.join(to.select(F.col("node").alias("y"), F.col("top").alias("new_y")), "y")
+        links = saved(two.select(F.col("new_x").alias("x"), F.col("new_y").alias("y")).filter("x != y").distinct(), "links")
+    return labels
