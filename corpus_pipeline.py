@@ -52,7 +52,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of fixed windows of tokens."""
-    return packing.digest(packing.pack(docs, packing.tokenizer_path()))
+    return packing.digest(packing.pack(docs, packing.tokenizer_path(), ranks=packing.tokenizer_path(packing.RANKS)))
 
 
 STAGES: list[tuple[str, Callable[..., DataFrame]]] = [
