@@ -60,12 +60,12 @@ def nearest(
             arrays = np.take_along_axis(projected, order, axis=0).T.copy()
             order = order.T.astype(np.int32).copy()
             spread = float(projected.std()) or 1.0
-            q = stacked(queries["v"], width)
+            q = stacked(queries["asked"], width)
             norm = np.sqrt((q * q).sum(axis=1))
             # A query's length does not change its order of candidates: it is brought to the candidates' scale.
             centres = (q / norm[:, None] * np.sqrt(most)) @ lines[:width]
             enough, wanted = int(np.ceil(share * hashes)), min(len(x), max(k + 1, int(np.ceil(verify * len(x)))))
-            for at, (quid, qid) in enumerate(zip(queries["uid"], queries["id"], strict=True)):
+            for at, (quid, qid) in enumerate(zip(queries["quid"], queries["query_id"], strict=True)):
                 count = np.zeros(len(x), np.int16)
                 lows = [int(np.searchsorted(arrays[h], centres[at, h])) for h in range(hashes)]
                 highs, half = list(lows), start * spread

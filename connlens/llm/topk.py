@@ -68,14 +68,14 @@ def exact_top(df: DataFrame, every: int, k: int, key: str = "vec_id", vector: st
             ids, uids = candidates["id"].to_numpy(), candidates["uid"].to_numpy()
             small = np.abs(x).max(initial=0) ** 2 * max(1, width) < 2**53
             exact = x.astype(float) if small else x
-            for quid, qid, v in zip(queries["uid"], queries["id"], queries["v"], strict=True):
+            for quid, qid, v in zip(queries["quid"], queries["query_id"], queries["asked"], strict=True):
                 q = np.zeros(width, np.int64)
                 q[: len(v["x"])] = v["x"]
                 qe = q.astype(float) if small else q
                 base = float(q.astype(float) @ q.astype(float))
                 own = np.sort((p @ q)[p_uid != quid])
                 floor = float(own[-k]) if len(own) >= k else -np.inf
-                bound = np.abs(near - distances(q[None, :].astype(float), np.zeros(1))[0][:, None]).max(axis=0).astype(float)
+                bound = np.abs(near - distances(q[None, :].astype(float), np.zeros(1))[0][:, None]).max(axis=0, initial=0).astype(float)
                 above = (base + most * (1 + SLACK) + base * SLACK - bound**2) / 2
                 above[uids == quid] = -np.inf
                 left = np.flatnonzero(above >= floor)

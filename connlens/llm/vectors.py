@@ -49,8 +49,9 @@ def searched(rows: DataFrame, every: int, n: int, k: int, search: Callable[[pd.D
     is_query = F.col("id") % every == 0
     segments, blocks = max(1, math.ceil(n / segment)), max(1, math.ceil(n / every / queries))
     side = rows.select("uid", "id", "v", F.pmod(F.xxhash64("uid"), F.lit(segments)).cast("int").alias("seg"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = rows.filter(is_query).select("uid", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("seg"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"))
-    found = side.groupBy("seg", "block").cogroup(asked.groupBy("seg", "block")).applyInPandas(search, f"quid long, query_id long, uid long, vec_id long, score {score}")
+    # Names of their own, so that the two sides of the cogroup share no column.
+    asked = rows.filter(is_query).select(F.col("uid").alias("quid"), F.col("id").alias("query_id"), F.col("v").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("of_seg"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("of_block"))
+    found = side.groupBy("seg", "block").cogroup(asked.groupBy("of_seg", "of_block")).applyInPandas(search, f"quid long, query_id long, uid long, vec_id long, score {score}")
     order = W.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
