@@ -263,13 +263,15 @@ def grid_search(
     return out.orderBy(F.col("accuracy").desc(), F.to_json("params"))
 
 
-def evaluate_verified(store: DataFrame, model: AttackModel, newest: int = 1000, least: int = 10, vector: str = "feature_vector") -> DataFrame:
-    """Per-class report on the newest verified rows, classes after the confidence gate."""
-    rows = page(browse(store, review_status="verified"), limit=newest, cap=None)
+def evaluate_verified(store: DataFrame, model: AttackModel, newest: int | None = None, least: int = 10, vector: str = "feature_vector") -> DataFrame:
+    """Per-class report on all verified rows, or the newest of them, classes after the confidence gate."""
+    rows = browse(store, review_status="verified")
+    if newest is not None:
+        rows = page(rows, limit=newest)
     usable = with_class(rows.filter(F.col(vector).isNotNull() & (F.length("label_category") > 0) & (F.length("label_subcategory") > 0)))
     found = usable.count()
     if found < least:
-        raise ValueError(f"Insufficient test data: {found} samples (minimum {least} required)")
+        raise ValueError(f"Insufficient rows: {found} verified, {least} are needed")
     predicted = predict_classes(usable, model, vector)
     gated = F.concat_ws(".", "classification.category", "classification.subcategory")
     return metrics.class_report(predicted.select(F.col("class_name").alias("true_label"), gated.alias("prediction")))

@@ -27,7 +27,7 @@ def browse(df: DataFrame, start_date=None, end_date=None, time: str = "timestamp
     return out
 
 
-def page(df: DataFrame, limit: int = 100, offset: int = 0, cap: int | None = 1000, time: str = "timestamp", key: str = "uid") -> DataFrame:
+def page(df: DataFrame, limit: int = 100, offset: int = 0, cap: int | None = None, time: str = "timestamp", key: str = "uid") -> DataFrame:
     """Newest first, one page; the key breaks ties so that pages do not overlap."""
     size = limit if cap is None else min(limit, cap)
     ordered = df.orderBy(F.col(time).desc(), F.col(key))

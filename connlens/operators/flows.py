@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from connlens.operators.ordered import running_totals
 from connlens.operators.spread import sized_join, spread_join
-from connlens.session import cut_lineage
 
 # IP protocol numbers; the other protocols are matched on addresses alone.
 PROTOCOL_NUMBERS = {"icmp": 1, "tcp": 6, "udp": 17, "sctp": 132}
 WITH_PORTS = ("tcp", "udp")
 
+#: Parts of an interface that are ranked on their own first.
+LANES = 64
+
 
 def _protocol(c: Column) -> Column:
     lower = F.lower(c)
@@ -91,8 +93,8 @@ def anomaly_context(packets: DataFrame, anomalies: DataFrame, last: int = 500) -
     stream = packets.select("iface", "ts", F.lit(0).alias("kind"), F.col("pkt_id").cast("string").alias("key"), "pkt_id").unionByName(
         anomalies.select("iface", "ts", F.lit(1).alias("kind"), F.col("uid").alias("key")), allowMissingColumns=True
     ).withColumn("_order", F.when(F.col("kind") == 0, F.col("pkt_id")).otherwise(F.lit(0)))
-    # Both sides read the numbers, so they are written once.
-    numbered = cut_lineage(running_totals(stream, ["ts", "kind", "_order", "key"], {"rank": F.lit(1) - F.col("kind")}, ["iface"]))
+    # The runs are written once; both sides number them from there.
+    numbered = running_totals(stream, ["ts", "kind", "_order", "key"], {"rank": F.lit(1) - F.col("kind")}, ["iface"])
     seen = numbered.filter("kind = 0").select(
         "iface", F.floor((F.col("rank") - 1) / last).alias("_block"), "pkt_id", F.col("ts").alias("packet_ts"), F.col("rank").alias("_p")
     )
@@ -106,7 +108,15 @@ def anomaly_context(packets: DataFrame, anomalies: DataFrame, last: int = 500) -
     return met.select("uid", "iface", "pkt_id", "packet_ts", (F.col("_r") - F.col("_p") + 1).alias("back"))
 
 
-def newest_packets(packets: DataFrame, newest: int = 5000) -> DataFrame:
-    """The newest packets of each interface. Every task keeps at most ``newest`` rows per interface before the shuffle."""
-    order = W.partitionBy("iface").orderBy(F.col("ts").desc(), F.col("pkt_id").desc())
-    return packets.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= newest).drop("_n")
+def newest_packets(packets: DataFrame, newest: int = 5000, lanes: int = LANES) -> DataFrame:
+    """The newest packets of each interface.
+
+    An interface may hold most of the packets, so it is first cut into lanes by
+    a hash of the packet; the newest of every lane then compete, at most
+    ``lanes * newest`` for an interface.
+    """
+    order = [F.col("ts").desc(), F.col("pkt_id").desc()]
+    lane = F.pmod(F.xxhash64("pkt_id", "ts"), F.lit(lanes))
+    few = packets.withColumn("_lane", lane).withColumn("_n", F.row_number().over(W.partitionBy("iface", "_lane").orderBy(*order))).filter(F.col("_n") <= newest)
+    last = few.drop("_lane").withColumn("_n", F.row_number().over(W.partitionBy("iface").orderBy(*order)))
+    return last.filter(F.col("_n") <= newest).drop("_n")

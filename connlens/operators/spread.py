@@ -42,7 +42,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin([v for v in hot if v is not None]), F.lit(False))
     plain = [F.col(f"`{f.name}`") for f in left.schema.fields if f.dataType.typeName() not in ("map", "struct", "array", "variant")]
-    picked = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(salts)).cast("int")
+    # Rows that are alike in every plain column are told apart by their partition.
+    picked = F.pmod(F.xxhash64(*plain, *([F.spark_partition_id()] if len(plain) < 2 else [])), F.lit(salts)).cast("int")
     salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), picked).otherwise(F.lit(0)))
     every = F.array(*[F.lit(i) for i in range(salts)])
     repeated = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))

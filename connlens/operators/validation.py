@@ -17,14 +17,16 @@ def class_balance(df: DataFrame, category: str = "attack_category", least_ratio:
     return row.select("classes", "min_n", "max_n", share.alias("balance_ratio"), (share > least_ratio).alias("is_balanced"))
 
 
-def vector_quality(df: DataFrame, vector: str = "feature_vector", sample_rows: int | None = 10, order: str | None = None) -> DataFrame:
-    """Parse errors, widths and whether they agree; over the first rows, or all when ``sample_rows`` is None.
+def vector_quality(df: DataFrame, vector: str = "feature_vector", sample_rows: int | None = None, order: str | None = None) -> DataFrame:
+    """Parse errors, widths and whether they agree, over all rows or the first ``sample_rows`` along ``order``.
 
     The error rate divides by the rows looked at.
     """
     rows = df
     if sample_rows is not None:
-        rows = (df.orderBy(order) if order else df).limit(sample_rows)
+        if order is None:
+            raise ValueError("the first rows need an order to be the same at every run")
+        rows = df.orderBy(order).limit(sample_rows)
     parsed = vector_from_text(vector) if df.schema[vector].dataType.typeName() == "string" else F.col(vector)
     width = F.size(parsed)
     good = F.when(parsed.isNotNull(), width)
@@ -48,85 +50,74 @@ def confidence_mix(df: DataFrame, confidence: str = "confidence", high: float =
     return row.withColumn("advice", advice)
 
 
+# What a training set needs, and from where on it is graded.
+MIN_SAMPLES, MIN_CATEGORIES = 50, 2
+HIGH_SHARE = (0.3, 0.8)
+#: Of each topic: the measured column, then (level, bound below which it holds); level for all else, None for no remark.
+GRADES = (
+    ("samples", "total_samples", (("critical", 100), ("warning", 200)), "good"),
+    ("categories", "category_count", (("critical", 3), ("warning", 5)), "good"),
+    ("quality", "sound", (("critical", 0),), "good"),
+    ("balance", "category_balance_ratio", (("critical", 0.1), ("warning", 0.3)), None),
+    ("risk", "ease", (("high", 1), ("medium", 2)), "low"),
+)
+
+
+def _codes(found: dict[str, Column]) -> Column:
+    """The names of the conditions that hold, in their order; an unknown condition does not hold."""
+    return F.array_compact(F.array(*[F.when(holds, F.lit(code)) for code, holds in found.items()]))
+
+
 def validate_labels(
     df: DataFrame, category: str = "attack_category", vector: str = "feature_vector", confidence: str = "confidence",
-    min_samples: int = 50, min_categories: int = 2, sample_rows: int | None = 10, order: str | None = None,
+    min_samples: int = MIN_SAMPLES, min_categories: int = MIN_CATEGORIES, sample_rows: int | None = None, order: str | None = None,
 ) -> DataFrame:
-    """Verdict over balance, vectors and confidence: validity, risk, recommendation and advice, one row."""
-    columns = set(df.columns)
+    """One row: measures of size, balance, vectors and confidence, the verdict, and codes for ``issues`` and ``advice``."""
+    has = {name: column in df.columns for name, column in (("category", category), ("vector", vector), ("confidence", confidence))}
     parts = [df.agg(F.count("*").alias("total_samples"))]
-    issues, advice = [], []
-    if category in columns:
+    if has["category"]:
         parts.append(class_balance(df, category))
-        classes, balance = F.col("classes"), F.col("balance_ratio")
-        advice.append(F.when(~F.col("is_balanced"), F.format_string(
-            "Consider balancing attack categories. Smallest category has %d samples, largest has %d samples.", "min_n", "max_n")))
-    else:
-        classes, balance = F.lit(0).cast("bigint"), F.lit(1.0)
-        issues.append(F.lit("Missing attack_category column"))
-        advice.append(F.lit("Ensure all anomalies have attack categories assigned"))
-    if vector in columns:
+    if has["vector"]:
         parts.append(vector_quality(df, vector, sample_rows, order))
-        issues.append(F.when(F.col("parseable") & (F.col("parse_errors") > 0), F.format_string("%d/%d feature vectors failed to parse", "parse_errors", "sampled")))
-        issues.append(F.when(F.col("parseable") & ~F.col("consistent_dimensions"), "Inconsistent feature vector dimensions detected"))
-        issues.append(F.when(~F.col("parseable"), "No parseable feature vectors found"))
-    else:
-        issues.append(F.lit("Missing feature_vector column"))
-    if confidence in columns:
+    if has["confidence"]:
         parts.append(confidence_mix(df, confidence).select("high_share"))
-        advice.append(F.when(F.col("high_share") > 0.8, "Very high percentage of high-confidence labels. Consider reviewing labeling criteria.")
-                      .when(F.col("high_share") < 0.3, "Low percentage of high-confidence labels. Consider improving label quality."))
     row = side_by_side(parts)
-
-    total = F.col("total_samples")
-    enough, varied = total >= min_samples, classes >= min_categories
-    row = row.select(
-        "*", F.array_compact(F.array(*issues)).alias("issues"),
-        enough.alias("has_min_samples"), varied.alias("has_min_categories"), classes.alias("category_count"), balance.alias("category_balance_ratio"),
-    )
-    n_issues = F.size("issues")
-    valid = enough & varied & (n_issues == 0)
-    medium = enough & (n_issues <= 1)
-    advice.append(F.when(~enough, F.format_string("Need %d more labeled samples (current: %d, minimum: %d)", F.lit(min_samples) - total, total, F.lit(min_samples))))
-    advice.append(F.when(~varied, F.format_string("Need more attack category diversity (current: %d, minimum: %d)", F.col("category_count"), F.lit(min_categories))))
-    advice.append(F.when(~valid & medium, "Training can proceed but consider addressing data quality issues")
-                  .when(~valid, "Training not recommended until data quality issues are resolved"))
+    absent = {"classes": F.lit(0).cast("bigint"), "balance_ratio": F.lit(1.0), "is_balanced": F.lit(True), "parseable": F.lit(None).cast("boolean"), "consistent_dimensions": F.lit(None).cast("boolean"), "parse_errors": F.lit(0).cast("bigint"), "high_share": F.lit(None).cast("double")}
+    row = row.withColumns({name: value for name, value in absent.items() if name not in row.columns})
+
+    readable = F.col("parseable")
+    issues = {
+        "no_category": F.lit(not has["category"]), "no_vector": F.lit(not has["vector"]), "unread_vectors": readable & (F.col("parse_errors") > 0),
+        "uneven_vectors": readable & ~F.col("consistent_dimensions"), "no_read_vector": ~readable,
+    }
+    row = row.withColumn("issues", _codes(issues)).withColumns({
+        "has_min_samples": F.col("total_samples") >= min_samples, "has_min_categories": F.col("classes") >= min_categories,
+        "category_count": F.col("classes"), "category_balance_ratio": F.col("balance_ratio"),
+    })
+    count = F.size("issues")
+    row = row.withColumn("is_valid", F.col("has_min_samples") & F.col("has_min_categories") & (count == 0))
+    row = row.withColumn("training_recommended", F.col("is_valid") | (F.col("has_min_samples") & (count <= 1)))
+    advice = {
+        "uneven_classes": ~F.col("is_balanced"), "add_category": F.lit(not has["category"]), "few_samples": ~F.col("has_min_samples"), "few_categories": ~F.col("has_min_categories"),
+        "mostly_high_confidence": F.col("high_share") > HIGH_SHARE[1], "rarely_high_confidence": F.col("high_share") < HIGH_SHARE[0],
+        "train_with_care": ~F.col("is_valid") & F.col("training_recommended"), "do_not_train": ~F.col("training_recommended"),
+    }
+    risk = F.when(F.col("is_valid"), "low").when(F.col("training_recommended"), "medium").otherwise("high")
     return row.select(
-        "total_samples", "category_count", "category_balance_ratio", "has_min_samples", "has_min_categories", "issues",
-        valid.alias("is_valid"),
-        F.when(valid, "low").when(medium, "medium").otherwise("high").alias("risk_level"),
-        (valid | medium).alias("training_recommended"),
-        F.array_compact(F.array(*advice)).alias("advice"),
+        "total_samples", "category_count", "category_balance_ratio", "has_min_samples", "has_min_categories", "issues", "is_valid",
+        risk.alias("risk_level"), "training_recommended", _codes(advice).alias("advice"),
     )
 
 
 def training_advice(verdict: DataFrame) -> DataFrame:
-    """Graded advice (critical, warning, good) from a verdict, one row per remark in order."""
-    total, classes, balance = F.col("total_samples"), F.col("category_count"), F.col("category_balance_ratio")
-    issues = F.size("issues")
-
-    def remark(topic: str, level, text) -> Column:
-        return F.struct(F.lit(topic).alias("topic"), level.alias("level"), text.alias("remark"))
-
-    size = F.when(total < 100, "critical").when(total < 200, "warning").otherwise("good")
-    size_text = (F.when(total < 100, "Very few labeled samples. Label at least 100 anomalies for reliable training.")
-                 .when(total < 200, "Consider labeling more samples for better model performance.")
-                 .otherwise("Sufficient labeled samples for training."))
-    kinds = F.when(classes < 3, "critical").when(classes < 5, "warning").otherwise("good")
-    kinds_text = (F.when(classes < 3, "Label more diverse attack types for comprehensive detection.")
-                  .when(classes < 5, "Consider adding more attack categories for better coverage.")
-                  .otherwise("Good diversity in attack categories."))
-    quality = F.when(issues > 0, "critical").otherwise("good")
-    quality_text = F.when(issues > 0, F.format_string("%d issues found. Review before training.", issues)).otherwise("No data quality issues detected.")
-    even = F.when(balance < 0.1, "critical").when(balance < 0.3, "warning")
-    even_text = (F.when(balance < 0.1, "Severe category imbalance. Balance your training data.")
-                 .when(balance < 0.3, "Category imbalance detected. Consider balancing training data."))
-    risk = F.col("risk_level")
-    risk_text = (F.when(risk == "high", "Training not recommended until issues are resolved.")
-                 .when(risk == "medium", "Training can proceed but monitor results carefully.")
-                 .otherwise("Training conditions are good."))
-    remarks = F.array(
-        remark("samples", size, size_text), remark("categories", kinds, kinds_text), remark("quality", quality, quality_text),
-        remark("balance", even, even_text), remark("risk", risk, risk_text),
-    )
-    return verdict.select(F.posexplode(remarks).alias("position", "r")).select("position", "r.*").filter("level is not null")
+    """Grades of a verdict by the table above: position, topic, level and the measured value, one row per remark."""
+    measured = verdict.withColumn("sound", -F.size("issues")).withColumn("ease", F.when(F.col("risk_level") == "high", 0).when(F.col("risk_level") == "medium", 1).otherwise(2))
+
+    def graded(topic: str, column: str, bounds: tuple, rest: str | None) -> Column:
+        level = F.lit(rest)
+        for name, bound in reversed(bounds):
+            level = F.when(F.col(column) < bound, F.lit(name)).otherwise(level)
+        return F.struct(F.lit(topic).alias("topic"), level.cast("string").alias("level"), F.col(column).cast("double").alias("value"))
+
+    remarks = F.array(*[graded(*rule) for rule in GRADES])
+    return measured.select(F.posexplode(remarks).alias("position", "r")).select("position", "r.*").filter("level is not null")

@@ -21,16 +21,18 @@ def follow_log(spark: SparkSession, folder: str, fields: Sequence[str] = LOG_COL
     return parse_lines(data, fields)
 
 
-def detect(conns: DataFrame, detector: Detector, nan_policy: str = "post", cut: float = 0.0, late: str | None = "1 hour") -> DataFrame:
-    """Anomalous connections with the time of detection.
+def detect(conns: DataFrame, detector: Detector, nan_policy: str = "post", cut: float = 0.0, late: str | None = None) -> DataFrame:
+    """Anomalous connections with the time of detection; every line counts, as in a scan.
 
-    Rotated logs may deliver a line twice, so uids are made distinct within the
-    watermark. Scoring is stateless; its parameters are literals or broadcast.
+    ``late`` is for logs that deliver a line twice: anomalies of one uid within
+    that span become one, and lines later than it are given up. Lines without a
+    uid are never taken for repeats. Scoring comes first, so that the state
+    holds anomalies only; its parameters are literals or broadcast.
     """
-    rows = conns
-    if late is not None:
-        rows = rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["uid"])
+    rows = conns if late is None else conns.withWatermark("ts", late)
     scored = score_log(rows, detector, nan_policy, cut).filter(F.col("prediction") == "anomaly")
+    if late is not None:
+        scored = scored.filter("uid is not null").dropDuplicatesWithinWatermark(["uid"]).unionByName(scored.filter("uid is null"))
     return scored.select(
         zoned_time("ts").alias("timestamp"),
         F.coalesce("uid", F.lit("unknown")).alias("uid"),
@@ -59,9 +61,13 @@ def write_anomalies(anomalies: DataFrame, csv_path: str, table_path: str, checkp
     return writer.start()
 
 
-def running_counters(conns: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Connections per time slot and protocol as data arrives; anomalies too when a prediction is present."""
-    rows = conns.withWatermark("ts", late)
+def running_counters(conns: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """Connections per time slot and protocol as data arrives; anomalies too when a prediction is present.
+
+    ``late`` closes a slot that long after its end, which the append and update
+    modes need to let go of it; later lines are given up then.
+    """
+    rows = conns if late is None else conns.withWatermark("ts", late)
     sums = [F.count("*").alias("n")]
     if "prediction" in conns.columns:
         sums.append(F.count_if(F.col("prediction") == "anomaly").alias("anomalies"))

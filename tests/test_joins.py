@@ -161,3 +161,13 @@ def test_histogram_keeps_every_row_and_empty_bins(spark):
     results = spark.createDataFrame([(-1.0,), (-1.0,), (0.5,), (1.0,)], "score double")
     out = reports.score_histogram(results, 4)
     assert [(r["n"], r["anomalies"]) for r in out.orderBy("bin").collect()] == [(2, 2), (0, 0), (0, 0), (2, 0)]
+
+
+def test_newest_packets_are_ranked_in_lanes_first(spark):
+    from connlens.operators.flows import newest_packets
+
+    df = spark.range(3000).select(F.lit("eth0").alias("iface"), (F.col("id") % 700).cast("timestamp").alias("ts"), F.col("id").alias("pkt_id"))
+    want = sorted(((i % 700, i) for i in range(3000)), reverse=True)[:50]
+    got = newest_packets(df, 50, lanes=7)
+    assert sorted((r["ts"].timestamp(), r["pkt_id"]) for r in got.select(F.col("ts"), "pkt_id").collect()) == sorted((float(t), i) for t, i in want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2

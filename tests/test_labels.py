@@ -101,7 +101,7 @@ def test_pages_do_not_overlap(spark):
     pages = [filters.page(df, 10, at_) for at_ in (0, 10, 20)]
     uids = [r["uid"] for p in pages for r in p.collect()]
     assert len(uids) == 25 == len(set(uids))
-    assert filters.page(df, 5000, cap=7).count() == 7
+    assert filters.page(df, 5000, cap=7).count() == 7 and filters.page(df, 5000).count() == 25
 
 
 def test_trainable_and_queue(spark):
@@ -121,13 +121,15 @@ def labelled(spark, n, categories=3, confidence="medium", text="[1, 2]"):
 def test_verdicts(spark):
     three = validation.validate_labels(labelled(spark, 3)).first()
     assert (three["category_balance_ratio"], three["is_valid"], three["risk_level"], three["training_recommended"]) == (1.0, False, "high", False)
-    assert "Low percentage of high-confidence labels. Consider improving label quality." in three["advice"]
+    assert three["advice"] == ["few_samples", "rarely_high_confidence", "do_not_train"]
+    levels = {r["topic"]: (r["level"], r["value"]) for r in validation.training_advice(validation.validate_labels(labelled(spark, 3))).collect()}
+    assert levels == {"samples": ("critical", 3.0), "categories": ("warning", 3.0), "quality": ("good", 0.0), "risk": ("high", 0.0)}
     good = validation.validate_labels(labelled(spark, 60, confidence="high")).first()
     assert (good["is_valid"], good["risk_level"], good["issues"]) == (True, "low", [])
     one_issue = validation.validate_labels(labelled(spark, 60, text="x")).first()
-    assert (one_issue["is_valid"], one_issue["risk_level"], one_issue["issues"]) == (False, "medium", ["No parseable feature vectors found"])
+    assert (one_issue["is_valid"], one_issue["risk_level"], one_issue["issues"]) == (False, "medium", ["no_read_vector"])
     bare = validation.validate_labels(labelled(spark, 60).select("confidence")).first()
-    assert bare["risk_level"] == "high" and len(bare["issues"]) == 2
+    assert bare["risk_level"] == "high" and bare["issues"] == ["no_category", "no_vector"]
 
 
 def test_vector_quality_rates_divide_by_the_rows_looked_at(spark):

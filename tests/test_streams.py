@@ -38,7 +38,7 @@ def test_detection_equals_the_batch_scan_and_drops_repeats(spark, tmp_path):
     detector = detector_for(batch)
     want = rows(score_scan(batch.drop("history", "service"), detector, "post").filter("prediction = 'anomaly'"), "uid", "prediction", "timestamp")
     write_log(logs, "c.log", [(i, f"C{i}", "tcp", 0.1 * i) for i in range(15, 20)])
-    found = detect.detect(detect.follow_log(spark, str(logs), files_per_trigger=1), detector)
+    found = detect.detect(detect.follow_log(spark, str(logs), files_per_trigger=1), detector, late="1 hour")
     finish(detect.write_anomalies(found, str(tmp_path / "csv"), str(tmp_path / "table"), str(tmp_path / "cp")))
     table = spark.read.parquet(str(tmp_path / "table"))
     assert len(want) > 0 and rows(table, "uid", "prediction", "timestamp") == want
@@ -47,12 +47,25 @@ def test_detection_equals_the_batch_scan_and_drops_repeats(spark, tmp_path):
     assert csv.columns == ["timestamp", "uid", "score", "prediction", "detected_at"] and csv.count() == len(want)
     # A restart from the same checkpoint reads only new files.
     write_log(logs, "d.log", [(100, "X", "tcp", 99.0)])
-    again = detect.detect(detect.follow_log(spark, str(logs)), detector)
+    again = detect.detect(detect.follow_log(spark, str(logs)), detector, late="1 hour")
     finish(detect.write_anomalies(again, str(tmp_path / "csv"), str(tmp_path / "table"), str(tmp_path / "cp")))
     assert rows(spark.read.parquet(str(tmp_path / "table")).filter("uid = 'X'"), "uid") == [("X",)]
     assert spark.read.parquet(str(tmp_path / "table")).count() == len(want) + 1
 
 
+def test_lines_without_uid_and_late_lines_are_kept(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    write_log(logs, "a.log", [(90000 + i, "-", "tcp", 0.1 * i) for i in range(20)])
+    write_log(logs, "b.log", [(i, "-", "udp", 0.1 * i) for i in range(20)])
+    batch = read_conn_log(spark, str(logs))
+    detector = detector_for(batch)
+    want = score_scan(batch.drop("history", "service"), detector, "post").filter("prediction = 'anomaly'").count()
+    found = detect.detect(detect.follow_log(spark, str(logs), files_per_trigger=1), detector)
+    finish(detect.write_anomalies(found, str(tmp_path / "csv"), str(tmp_path / "table"), str(tmp_path / "cp")))
+    assert want > 1 and spark.read.parquet(str(tmp_path / "table")).count() == want
+
+
 def test_counters(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
