@@ -32,6 +32,8 @@ END = 1
 TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as ranks.
 RANKS = "byte_bpe_50k.tiktoken"
+#: Tasks of pass 1 up to which their offsets are broadcast.
+MOST_TASKS = 1_000_000
 #: Chunks remembered by a worker.
 REMEMBERED = 500_000
 
@@ -167,6 +169,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    # Sixteen bytes for each task of pass 1: broadcast up to a million tasks, so that the ids need not move.
+    bases = F.broadcast(bases) if totals.limit(MOST_TASKS + 1).count() <= MOST_TASKS else bases
     placed = rows.join(bases, "part").withColumn("at", F.col("base") + F.col("local"))
     last = F.expr(f"(at + n - 1) div {size}")
     first = F.expr(f"at div {size}")
