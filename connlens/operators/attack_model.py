@@ -24,6 +24,7 @@ from connlens.operators import metrics
 from connlens.operators.filters import browse, check_trainable, frequent_classes, page, trainable, with_class
 from connlens.operators.ordered import running_totals
 from connlens.operators.spread import pin_small, side_by_side, sized_join
+from connlens.session import cut_lineage
 
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2}
 BOOST = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 10, "minInstancesPerNode": 2}
@@ -41,6 +42,11 @@ class AttackModel:
     threshold: float = 0.7
     facts: Mapping[str, object] = field(default_factory=dict, compare=False)
 
+    @property
+    def width(self) -> int:
+        """Number of features."""
+        return (self.fitted if self.kind == "random_forest" else self.fitted.models[0]).numFeatures
+
     def with_threshold(self, value: float) -> AttackModel:
         return AttackModel(self.kind, self.classes, self.fitted, check_threshold(value), self.facts)
 
@@ -161,10 +167,10 @@ def predict_classes(df: DataFrame, model: AttackModel, vector: str = "features",
 
 
 def evaluate(df: DataFrame, model: AttackModel, vector: str = "features", class_column: str = "class_name") -> dict[str, DataFrame]:
-    """Summary, per-class report and confusion matrix of a labelled frame."""
-    predicted = predict_classes(df, model, vector).select(
+    """Summary, per-class report and confusion matrix of a labelled frame; the rows are predicted once."""
+    predicted = cut_lineage(predict_classes(df, model, vector).select(
         F.col(class_column).alias("true_label"), F.col("predicted_class").alias("prediction"), F.col("classification.confidence").alias("confidence")
-    )
+    ))
     hit = F.when(F.col("true_label") == F.col("prediction"), 1.0).otherwise(0.0)
     summary = metrics.confident_accuracy(predicted, "true_label", "prediction", "confidence", model.threshold, F.avg(hit).alias("accuracy"))
     return {
@@ -189,12 +195,12 @@ def train_from_store(
     threshold: float = 0.7, seed: int = 42, **options,
 ) -> tuple[AttackModel, dict[str, DataFrame]]:
     """Trainable rows of frequent classes, exact 80/20 split, fit, evaluation on the test side."""
-    rows = with_class(trainable(store, minimum, vector))
+    rows = cut_lineage(with_class(trainable(store, minimum, vector)).select("uid", "class_name", vector))
     before = rows.count()
     kept = frequent_classes(rows, "class_name", least_per_class)
     sizes = class_sizes(kept)
     check_trainable(before, len(sizes))
-    split = stratified_split(kept, seed=seed)
+    split = cut_lineage(stratified_split(kept, seed=seed))
     model = fit_attack_model(split.filter("side = 'train'"), kind, vector, threshold=threshold, seed=seed, **options)
     facts = {"rows_before_class_filter": before, "training_samples": sum(sizes.values()), "classes_count": len(sizes)}
     model = AttackModel(model.kind, model.classes, model.fitted, model.threshold, facts)

@@ -37,7 +37,6 @@ def hybrid_predict(scored: DataFrame, model: AttackModel | None = None, threshol
     base = scored.withColumns({
         "anomaly_detection": detection, "error": F.when(failed, "prediction failed: no score"), "_anomalous": anomalous,
     })
-    plain = base if model is None else base.filter(~F.col("_anomalous"))
     final = (
         F.when(F.col("error").isNotNull(), _final(F.lit("error"), F.lit("processing_failed"), F.lit(0.0), F.lit(True)))
         .when(F.col("_anomalous"), _final(F.lit("unknown"), F.lit("unknown"), F.lit(0.0), F.lit(True)))
@@ -50,15 +49,17 @@ def hybrid_predict(scored: DataFrame, model: AttackModel | None = None, threshol
         F.lit(None).cast("map<string,double>").alias("probabilities"), absent.alias("error"),
         F.lit("Classification model not available").alias("note"),
     )
-    classification = F.when(F.col("_anomalous"), undecided).cast(CLASSIFICATION)
-    out = plain.withColumns({"classification": classification, "final_prediction": final})
-    if model is not None:
-        c = F.col("classification")
-        classified = predict_classes(base.filter(F.col("_anomalous")), model, vector).drop("predicted_class")
-        classified = classified.withColumn("classification", c.cast(CLASSIFICATION))
-        classified = classified.withColumn("final_prediction", _final(c["category"], c["subcategory"], c["confidence"], c["requires_review"]))
-        out = out.unionByName(classified)
-    return out.drop("_anomalous")
+    if model is None:
+        classification = F.when(F.col("_anomalous"), undecided).cast(CLASSIFICATION)
+        return base.withColumns({"classification": classification, "final_prediction": final}).drop("_anomalous")
+    # One pass over the rows: those that need no class bring the same vector of zeros.
+    nothing = F.array_repeat(F.lit(0.0), model.width)
+    asked = base.withColumn("_asked", F.when(F.col("_anomalous"), F.col(vector)).otherwise(nothing))
+    c = F.col("_class_of")
+    answered = predict_classes(asked, model, "_asked", "_class_of").drop("predicted_class")
+    decided = F.when(F.col("_anomalous"), _final(c["category"], c["subcategory"], c["confidence"], c["requires_review"])).otherwise(final)
+    out = answered.withColumns({"classification": F.when(F.col("_anomalous"), c.cast(CLASSIFICATION)), "final_prediction": decided})
+    return out.drop("_anomalous", "_asked", "_class_of")
 
 
 def store_rows(predicted: DataFrame, vector: str = "z", now: Column | None = None) -> DataFrame:

@@ -75,35 +75,50 @@ def running_totals(
 def exact_percentile(df: DataFrame, name: str, share: float, accuracy: int = 10_000, keep: int = 10_000) -> float | None:
     """Linearly interpolated percentile of a numeric column.
 
-    A sketch brackets the wanted ranks; a second pass counts the rows below the
-    bracket together with the distinct values inside it, at most ``keep`` of
-    which reach the driver. A bracket that holds more is drawn again from a
-    finer sketch, one that misses the ranks is widened. The column alone is persisted, so its
-    expression is computed once.
+    A bracket that holds the wanted ranks is narrowed until it has at most
+    ``keep`` distinct values; their counts then reach the driver. The sketch
+    that proposes a narrower bracket always has the same size. The column alone
+    is persisted, so its expression is computed once.
     """
     values = df.select(F.col(name).cast("double").alias("x")).filter(~missing("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    margin = 2.0 / accuracy
+    low, high = -math.inf, math.inf
     try:
+        n = values.count()
+        if not n:
+            return None
+        position = share * (n - 1)
         while True:
-            around = [max(0.0, share - margin), min(1.0, share + margin)]
-            row = values.agg(F.count("*").alias("n"), F.percentile_approx("x", around, accuracy).alias("p")).first()
-            if not row["n"]:
-                return None
-            position = share * (row["n"] - 1)
-            low, high = row["p"] if row["n"] > keep else (-math.inf, math.inf)
             inside = F.when(F.col("x") >= low, F.col("x"))
             counts = values.filter(F.col("x") <= high).groupBy(inside.alias("x")).agg(F.count("*").alias("n")).limit(keep + 2).collect()
-            if len(counts) > keep + 1:
-                accuracy, margin = min(accuracy * 4, 2**30), margin / 4
-                continue
-            found = _interpolate(counts, position)
-            if found is not None:
-                return found
-            margin *= 4
+            if len(counts) <= keep + 1:
+                return _interpolate(counts, position)
+            low, high = _narrower(values, low, high, math.floor(position), math.ceil(position), accuracy)
     finally:
         values.unpersist()
 
 
+def _narrower(values: DataFrame, low: float, high: float, first: int, last: int, accuracy: int) -> tuple[float, float]:
+    """A bracket inside [low, high] that still holds the ranks ``first`` to ``last``.
+
+    A sketch of the rows in the bracket proposes its ends, a count confirms
+    each. Where ties at both ends leave it as it is, the range is halved.
+    """
+    x, margin = F.col("x"), 2.0 / accuracy
+    held = x.between(low, high)
+    row = values.agg(F.count_if(x < low).alias("below"), F.count_if(held).alias("n")).first()
+    around = [max(0.0, (first - row["below"]) / row["n"] - margin), min(1.0, (last - row["below"]) / row["n"] + margin)]
+    a, b = values.filter(held).agg(F.percentile_approx("x", around, accuracy).alias("p")).first()["p"]
+    row = values.agg(F.count_if(x < a).alias("below"), F.count_if(x <= b).alias("reached")).first()
+    found = (a if row["below"] <= first else low, b if row["reached"] > last else high)
+    if found != (low, high):
+        return found
+    middle = max(low, -1e308) / 2 + min(high, 1e308) / 2
+    row = values.agg(F.count_if(x <= middle).alias("reached"), F.max(F.when(x <= middle, x)).alias("left"), F.min(F.when(x > middle, x)).alias("right")).first()
+    if row["reached"] > last:
+        return low, row["left"]
+    return (row["right"], high) if row["reached"] <= first else (row["left"], row["right"])
+
+
 def _interpolate(counts: Sequence, position: float) -> float | None:
     """Value at a fractional rank; the null row counts what lies below the listed values."""
     reached = sum(c["n"] for c in counts if c["x"] is None)

@@ -29,10 +29,14 @@ def scan_totals(results: DataFrame) -> DataFrame:
 
 
 def recent_scans(results: DataFrame, size: int = 10, origins: DataFrame | None = None) -> DataFrame:
-    """The newest scans with a readable time; ``origins`` adds one origin record per scan."""
-    newest = scan_totals(results).orderBy(F.col("scan_id").desc()).limit(size)
+    """The newest scans with a readable time; ``origins`` adds one origin record per scan.
+
+    The scans are chosen from their ids alone, so only rows of those scans are scored and grouped.
+    """
+    newest = results.select(F.col("scan_id").alias("_newest")).distinct().orderBy(F.col("_newest").desc()).limit(size)
+    chosen = results.join(F.broadcast(newest), F.col("scan_id").eqNullSafe(F.col("_newest")), "left_semi")
     named = F.coalesce(display_time(scan_time("scan_id")), F.translate("scan_id", "_", " "))
-    out = newest.withColumn("scan_time", named)
+    out = scan_totals(chosen).withColumn("scan_time", named)
     if origins is None:
         return out
     joined = out.join(origins, "scan_id", "left")

@@ -15,13 +15,8 @@ from connlens.plans.registry import query
 from connlens.plans.report_queries import full_detector
 from connlens.session import cut_lineage
 
-# Sizes of the registered fits; the operators' own defaults are the full ones.
-FIT = {"size": 256, "epochs": 8}
-FOREST = {"numTrees": 30, "maxDepth": 8}
-
-
 def _detector(spark, sf_dir, nu=0.05):
-    return scoring.fit_detector(fx.conn(spark, sf_dir), nu=nu, **FIT)
+    return scoring.fit_detector(fx.conn(spark, sf_dir), nu=nu)
 
 
 @query("SELECT count(*) AS rows, 8 AS width, true AS share_matches_nu FROM conn")
@@ -34,6 +29,12 @@ def ocsvm_train(spark, sf_dir):
     return out.select("rows", F.lit(detector.model.width).alias("width"), close.alias("share_matches_nu"))
 
 
+def _finite_moments(report):
+    """The report with 1 in place of each moment of the score that is a finite number, else 0."""
+    finite = F.coalesce((~F.isnan("value")) & (F.abs("value") < float("inf")), F.lit(False)).cast("double")
+    return report.withColumn("value", F.when(F.col("name").endswith("_anomaly_score"), finite).otherwise(F.col("value")))
+
+
 @query("SELECT scan_id, count(*) AS n FROM conn GROUP BY scan_id")
 def batch_scan(spark, sf_dir):
     results, rejected = scoring.score_corpus(fx.conn(spark, sf_dir), full_detector(spark, sf_dir))
@@ -45,23 +46,25 @@ def batch_scan(spark, sf_dir):
 +r AS (SELECT attack_category, count(*) AS n FROM (SELECT concat('class-', label) AS attack_category FROM embeddings) e GROUP BY 1)
 SELECT 'total' AS measure, 'rows' AS name, CAST(sum(n) AS DOUBLE) AS value FROM r
 UNION ALL SELECT 'category', attack_category, CAST(n AS DOUBLE) FROM r
+UNION ALL SELECT 'total', unnest(['mean_anomaly_score', 'std_anomaly_score']), CAST(1 AS DOUBLE)
 """)
 def retrain_labelled(spark, sf_dir):
     rows = fx.vectors(spark, sf_dir).withColumnRenamed("features", "feature_vector")
     fitted = scaling.fit_vector_scaler(rows, "feature_vector", 64)
-    _, report = scoring.retrain_labelled(rows, fitted, nu=0.1, **FIT)
-    return report.filter(F.col("name") == F.when(F.col("measure") == "total", "rows").otherwise(F.col("name")))
+    _, report = scoring.retrain_labelled(rows, fitted, nu=0.1)
+    return _finite_moments(report)
 
 
 @query("""
 SELECT 'total' AS measure, 'rows' AS name, (SELECT count(*) FROM conn) + (SELECT count(*) FROM embeddings) + CAST(0 AS DOUBLE) AS value
 UNION ALL SELECT 'origin', 'normal', CAST(count(*) AS DOUBLE) FROM conn
 UNION ALL SELECT 'origin', 'labelled', CAST(count(*) AS DOUBLE) FROM embeddings
+UNION ALL SELECT 'total', unnest(['mean_anomaly_score', 'std_anomaly_score']), CAST(1 AS DOUBLE)
 """)
 def full_retrain(spark, sf_dir):
     log = fx.conn(spark, sf_dir)
-    _, report = scoring.full_retrain(log, fx.vectors(spark, sf_dir), nu=0.05, **FIT)
-    return report.filter((F.col("measure") == "origin") | (F.col("name") == "rows"))
+    _, report = scoring.full_retrain(log, fx.vectors(spark, sf_dir), nu=0.05)
+    return _finite_moments(report.filter("measure <> 'category'"))
 
 
 def _split(spark, sf_dir):
@@ -89,7 +92,7 @@ def _report(report):
 
 @query(SUPPORT)
 def forest_train(spark, sf_dir):
-    model, test = _train(spark, sf_dir, **FOREST)
+    model, test = _train(spark, sf_dir)
     return _report(attack_model.evaluate(test, model)["report"])
 
 
@@ -104,7 +107,7 @@ SELECT concat('V', vec_id) AS uid, 10 AS classes, true AS gated, true AS sums_to
 """)
 def class_predict(spark, sf_dir):
     rows = fx.vectors(spark, sf_dir)
-    model = attack_model.fit_attack_model(rows, **FOREST)
+    model = attack_model.fit_attack_model(rows)
     c = F.col("classification")
     total = F.aggregate(F.map_values(c["probabilities"]), F.lit(0.0), lambda s, x: s + x)
     gated = F.when(c["is_confident"], ~c["requires_review"] & (c["category"] == "class")).otherwise(c["requires_review"] & (c["category"] == "unknown"))
@@ -112,25 +115,43 @@ def class_predict(spark, sf_dir):
     return out.select("uid", F.size(c["probabilities"]).alias("classes"), gated.alias("gated"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query()
+@query("""
++c AS (SELECT concat('class.', label) AS class_name, count(*) AS n FROM embeddings GROUP BY 1),
+f AS (SELECT class_name, n, unnest(range(5)) AS fold FROM c),
+s AS (SELECT class_name, CAST(fold AS INT) AS fold, CAST(round((fold + 1) / 5 * n) - round(fold / 5 * n) AS BIGINT) AS n FROM f)
+SELECT class_name, fold, n, 5 AS folds, true AS in_range FROM s WHERE n > 0
+""")
 def cross_validate(spark, sf_dir):
-    return attack_model.cross_validate(fx.vectors(spark, sf_dir), count=5, numTrees=10, maxDepth=5)
+    """Size of every class in every fold, and whether mean and deviation of the accuracy can be such."""
+    rows = fx.vectors(spark, sf_dir)
+    found = attack_model.cross_validate(rows, count=5).first()
+    fair = 0.0 <= found["cv_mean"] <= 1.0 and 0.0 <= found["cv_std"] <= 0.5
+    sizes = attack_model.folds(rows, count=5).groupBy("class_name", "fold").agg(F.count("*").alias("n"))
+    return sizes.select("class_name", "fold", "n", F.lit(found["folds"]).alias("folds"), F.lit(fair).alias("in_range"))
 
 
-@query()
+@query("""
+SELECT unnest([5, 5, 10, 10]) AS trees, unnest([3, 6, 3, 6]) AS depth, true AS in_range
+""")
 def grid_search(spark, sf_dir):
     grid = {"numTrees": [5, 10], "maxDepth": [3, 6]}
-    return attack_model.grid_search(fx.vectors(spark, sf_dir), grid)
+    out = attack_model.grid_search(fx.vectors(spark, sf_dir), grid)
+    params = F.col("params")
+    return out.select(params["numTrees"].cast("int").alias("trees"), params["maxDepth"].cast("int").alias("depth"), F.col("accuracy").between(0.0, 1.0).alias("in_range"))
 
 
-@query()
+@query("""
+SELECT CAST(unnest(range(width)) AS INT) AS feature, true AS is_share, true AS sums_to_one FROM (SELECT max(len(embedding)) AS width FROM embeddings) w
+""")
 def feature_importance(spark, sf_dir):
-    model = attack_model.fit_attack_model(fx.vectors(spark, sf_dir), **FOREST)
-    return attack_model.feature_importance(model, spark)
+    model = attack_model.fit_attack_model(fx.vectors(spark, sf_dir))
+    out = attack_model.feature_importance(model, spark)
+    total = out.agg(F.sum("importance")).first()[0]
+    return out.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"), F.lit(abs(total - 1.0) < 1e-6).alias("sums_to_one"))
 
 
 def _store_model(spark, sf_dir):
-    return attack_model.train_from_store(fx.store(spark, sf_dir), numTrees=10, maxDepth=6)
+    return attack_model.train_from_store(fx.store(spark, sf_dir))
 
 
 @query("""
@@ -138,7 +159,7 @@ def _store_model(spark, sf_dir):
 SELECT 'nightly' AS session_name, 'v1' AS model_version, CAST(sum(n - round(CAST(0.2 AS DOUBLE) * n)) AS BIGINT) AS training_data_count, true AS in_range FROM c
 """)
 def training_session(spark, sf_dir):
-    model, test = _train(spark, sf_dir, **FOREST)
+    model, test = _train(spark, sf_dir)
     row = attack_model.session_record("nightly", "v1", model, attack_model.evaluate(test, model))
     shares = [F.col(c).between(0.0, 1.0) for c in ("accuracy_score", "precision_score", "recall_score", "f1_score")]
     return row.select("session_name", "model_version", "training_data_count", (shares[0] & shares[1] & shares[2] & shares[3]).alias("in_range"))
@@ -154,12 +175,19 @@ def verified_eval(spark, sf_dir):
     return report.filter("support > 0").select("label", "support")
 
 
-@query()
+@query("""
++c AS (SELECT label_category, label_subcategory, count(*) AS n FROM training WHERE label_category IS NOT NULL AND confidence_level IN ('medium', 'high') GROUP BY 1, 2),
+f AS (SELECT n FROM c WHERE n >= 10)
+SELECT 'random_forest' AS kind, (SELECT CAST(sum(n) AS BIGINT) FROM c) AS rows_before_class_filter, (SELECT CAST(sum(n) AS BIGINT) FROM f) AS training_samples,
+  (SELECT count(*) FROM f) AS classes_count, (SELECT CAST(sum(round(CAST(0.2 AS DOUBLE) * n)) AS BIGINT) FROM f) AS test_rows, true AS in_range
+""")
 def performance_panel(spark, sf_dir):
     """Label statistics, model facts and the summary of the test side in one record."""
     model, parts = _store_model(spark, sf_dir)
     row = side_by_side([labels.label_statistics(fx.store(spark, sf_dir)), parts["summary"]])
-    return row.select("*", F.lit(model.kind).alias("kind"), *[F.lit(v).alias(k) for k, v in model.facts.items()])
+    shares = [F.col(c).between(0.0, 1.0) for c in ("accuracy", "confident_accuracy", "confident_ratio")]
+    facts = [F.lit(v).cast("bigint").alias(k) for k, v in model.facts.items()]
+    return row.select(F.lit(model.kind).alias("kind"), *facts, F.col("n").alias("test_rows"), (shares[0] & shares[1] & shares[2]).alias("in_range"))
 
 
 @query("""

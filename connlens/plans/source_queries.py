@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from connlens.functions.scalars import is_ipv6, iso_time, scan_id_of
 from connlens.operators import labels
 from connlens.plans import fixtures as fx
 from connlens.plans.label_queries import NOW, STORE_FIELDS, labelled_log
@@ -34,6 +35,60 @@ def raw_log_scan(spark, sf_dir):
     return raw.groupBy("proto", "service").agg(F.count("*").alias("n"))
 
 
+def headed_log(rows, names, path):
+    """One file per scan, its header line first. ``rows`` is (scan_id, line_no, value)."""
+    head = rows.select("scan_id").distinct().select("scan_id", F.lit(-1).cast("bigint").alias("line_no"), F.lit("\t".join(["#fields", *names])).alias("value"))
+    both = head.unionByName(rows.select("scan_id", "line_no", "value")).repartition("scan_id").sortWithinPartitions("scan_id", "line_no")
+    both.select("scan_id", "value").write.partitionBy("scan_id").text(path)
+
+
+@query("""
+SELECT uid, ts, proto, service, CASE WHEN line_no % 2 = 0 THEN duration END AS duration, orig_bytes, resp_bytes FROM conn
+""")
+def log_headers(spark, sf_dir):
+    """Files of two layouts under their own headers; the second has fewer columns in another order."""
+    path = scratch_path(spark, "log")
+    even = F.col("line_no") % 2 == 0
+    headed_log(fx.log_lines(spark, sf_dir).filter(even), LOG_COLUMNS, f"{path}/layout=whole")
+    dash = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("resp_bytes", "service", "proto", "uid", "orig_bytes")]
+    seconds = F.format_string("%.6f", F.unix_micros("ts") / F.lit(1e6))
+    few = fx.conn(spark, sf_dir).filter(~even).select("scan_id", "line_no", F.concat_ws("\t", *dash, seconds).alias("value"))
+    headed_log(few, ["resp_bytes", "service", "proto", "uid", "orig_bytes", "ts"], f"{path}/layout=few")
+    return conn_log.read_conn_log(spark, path + "/*/*").select("uid", "ts", "proto", "service", "duration", "orig_bytes", "resp_bytes")
+
+
+@query("SELECT uid, proto, coalesce(service, '-') AS service, '-' AS ip_proto FROM conn WHERE line_no % 3 <> 0")
+def raw_log_skip(spark, sf_dir):
+    """Short lines are dropped, long ones cut."""
+    third, value = F.col("line_no") % 3, F.col("value")
+    uneven = F.when(third == 0, F.substring_index(value, "\t", 10)).when(third == 1, F.concat(value, F.lit("\tmore"))).otherwise(value)
+    path = scratch_path(spark, "log")
+    conn_log.write_conn_log(fx.log_lines(spark, sf_dir).select("scan_id", uneven.alias("value")), path)
+    return conn_log.read_raw_log(spark, path + "/*", "skip").select("uid", "proto", "service", "ip_proto")
+
+
+@query("""
+SELECT uid, score, score < 0 AS is_anomaly, 'renamed' AS layout FROM pred
+UNION ALL SELECT uid, CAST(0 AS DOUBLE), false, 'bare' FROM pred
+""")
+def fallback_columns(spark, sf_dir):
+    rows = fx.pred(spark, sf_dir)
+    layouts = {"renamed": rows.withColumnRenamed("score", "anomaly_score"), "bare": rows.select("uid")}
+    parts = [results.with_fallbacks(df).select("uid", "score", "is_anomaly", F.lit(name).alias("layout")) for name, df in layouts.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""
+SELECT uid, contains(source_ip, ':') AS short_is_v6, contains(concat('::ffff:', source_ip), ':') AS long_is_v6,
+  strftime(ts, '%Y%m%d_%H%M%S') AS scan, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso FROM conn
+""")
+def address_and_time_texts(spark, sf_dir):
+    long = F.concat(F.lit("::ffff:"), F.col("source_ip"))
+    return fx.conn(spark, sf_dir).select(
+        "uid", is_ipv6("source_ip").alias("short_is_v6"), is_ipv6(long).alias("long_is_v6"), scan_id_of("ts").alias("scan"), iso_time("ts", "Z").alias("iso")
+    )
+
+
 @query("SELECT scan_id, uid, timestamp, score, prediction FROM pred")
 def result_corpus(spark, sf_dir):
     path = scratch_path(spark, "results")

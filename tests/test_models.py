@@ -136,6 +136,15 @@ def test_hybrid_prediction(spark, forest):
     assert bare["A"]["classification"]["note"] == "Classification model not available"
 
 
+def test_hybrid_prediction_reads_its_rows_once(spark, forest):
+    late = scored(spark).unionByName(spark.createDataFrame([("X", at(4), None, None)], scored(spark).schema))
+    out = hybrid.hybrid_predict(late, forest)
+    assert out.columns == [*late.columns, "anomaly_detection", "error", "classification", "final_prediction"]
+    assert rows(out, "uid") == [("A",), ("E",), ("M",), ("N",), ("X",)]
+    one = hybrid.hybrid_predict(scored(spark).repartition(2), forest)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange RoundRobin") == 1
+
+
 def test_quality_counts_absent_parts_as_false(spark, forest):
     row = metrics.prediction_quality(hybrid.hybrid_predict(scored(spark), forest)).first()
     assert (row["total_predictions"], row["successful_predictions"], row["anomalies_detected"], row["classified_anomalies"]) == (4, 3, 1, 1)

@@ -47,6 +47,13 @@ def test_percentile_with_a_value_holding_a_third_and_a_tight_limit(spark):
     assert exact_percentile(df.limit(0), "x", 0.5) is None
 
 
+@pytest.mark.parametrize("share", [0.3, 0.4949, 0.495, 0.4951, 0.5, 0.505, 0.5051, 0.7])
+def test_percentile_between_two_heavy_ties(spark, share):
+    values = [0.0] * 990 + [1 + i / 100 for i in range(20)] + [9.0] * 990
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    assert exact_percentile(df, "x", share, accuracy=20, keep=4) == pytest.approx(float(np.percentile(values, share * 100)), abs=1e-12)
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)], "key string, v int").repartition(4)
