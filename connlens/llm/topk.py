@@ -77,8 +77,7 @@ def exact_top(df: DataFrame, every: int, k: int, key: str = "vec_id", vector: st
                 floor = float(own[-k]) if len(own) >= k else -np.inf
                 bound = np.abs(near - distances(q[None, :].astype(float), np.zeros(1))[0][:, None]).max(axis=0, initial=0).astype(float)
                 above = (base + most * (1 + SLACK) + base * SLACK - bound**2) / 2
-                above[uids == quid] = -np.inf
-                left = np.flatnonzero(above >= floor)
+                left = np.flatnonzero((above >= floor) & (uids != quid))
                 order = left[np.argsort(-above[left], kind="stable")]
                 held, places = np.empty(0), np.empty(0, int)
                 for at in range(0, len(order), STEP):
@@ -89,7 +88,7 @@ def exact_top(df: DataFrame, every: int, k: int, key: str = "vec_id", vector: st
                     held, places = np.concatenate((held, scores)), np.concatenate((places, some))
                     top = best(held, ids[places], k)
                     held, places = held[top], places[top]
-                good = (held >= floor) & (uids[places] != quid)
+                good = held >= floor
                 held, places = held[good], places[good]
                 out.append(pd.DataFrame({"quid": quid, "query_id": qid, "uid": uids[places], "vec_id": ids[places], "score": held.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("quid", "query_id", "uid", "vec_id", "score")})

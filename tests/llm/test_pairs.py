@@ -128,6 +128,12 @@ def test_search_of_few_and_none(spark):
     assert topk.exact_top(df.limit(0), 20, 20).count() == 0 and neighbours.nearest(df.limit(0), 20, 20).count() == 0
 
 
+def test_fewer_pivots_than_ranks(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 22)], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r)[1:3] for r in topk.exact_top(df, 20, 20, pivots=3).collect())
+    assert got == list(enumerate([21, *range(19, 0, -1)], 1))
+
+
 def test_approximate_search_has_recall_and_exact_scores(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/embeddings.parquet")
     data = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
