@@ -43,7 +43,9 @@ MORE = (
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abps]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # Up to the END line; where that is missing, to the last long run or whole line of base64 characters. No class takes a dash
+    # of the marks, so each try ends before the next mark and a long text stays linear.
+    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\r\n\\rn]*(?:Proc-Type|DEK-Info):[ \t]*[A-Za-z0-9,-]*){0,2}(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----|(?:[A-Za-z0-9+/=\\ \t\r\n]*[A-Za-z0-9+/]{32}={0,2})?(?:[ \t\r\n]*[A-Za-z0-9+/=\\][A-Za-z0-9+/=\\\r\n]*[A-Za-z0-9+/=](?m:$))?)"),
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
@@ -136,7 +138,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
     """``docs`` with every span of its text replaced by ``mask``; all columns and rows stay, a null text stays null.
 
     The candidates come from the index; a candidate's kinds are replaced one
-    after the other, in the rules' order.
+    after the other, whole keys first and the rest in the rules' order: the mask
+    of a shorter secret would hide where a key starts or cut its body.
     """
 
     def masked(least: int):
@@ -155,7 +158,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
             side += "_"
         other = found.groupBy(F.col("h").alias(side)).agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias(kinds))
         joined = plain.join(other, plain[h] == other[side], "left").drop(side)
-    for rule in rules:
+    for rule in sorted(rules, key=lambda r: r.kind != "private"):
         value = quoted(text)
         gate = value.rlike(rule.regex) if rule in scanned else F.coalesce(F.array_contains(quoted(kinds), rule.kind), F.lit(False))
         parts = F.struct(

@@ -125,6 +125,32 @@ def test_redaction_leaves_no_secret_and_all_else(spark, odd):
     assert sorted(map(str, secrets.redact(odd).collect())) == sorted(map(str, odd.collect()))
 
 
+BODY = ["MIIEpAIBAAKCAQEA" + f"{i}+/Q" * 12 for i in range(8)]
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+#: Text before the key, the key whole, text after it.
+KEYS = [
+    ("a ", "\n".join([BEGIN, *BODY, "Zm9vYg==", END]), "\nthe end"), ("", "\n".join([BEGIN, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0A1B", "", *BODY, END]), ""),
+    ("cut off\n", "\n".join([BEGIN, *BODY, "Zm9vYg=="]), "\n\nThe quick brown fox - it runs."), ("", "\n".join([BEGIN, "Zm9v", "YmFy"]), ""),
+    ('{"k": "', "\\n".join([BEGIN, *BODY, END]), '\\n"}'), ("key: |\n  ", "\n  ".join([BEGIN, *BODY, "Zm9v"]), "\nnext: 1"), ('"', f"{BEGIN} {' '.join(BODY)}", ', more"'), ("", BEGIN, " starts a key, they say"),
+    ("x", "\n".join([BEGIN, BODY[0], "AKIA" + "Z" * 16 + BODY[1], "0123456789abcdef" * 2 + BODY[2], "Zm9v"]), "\n"),
+]
+
+
+def test_a_private_key_is_masked_whole(spark):
+    docs = spark.createDataFrame([(i, a + key + b) for i, (a, key, b) in enumerate(KEYS)] + [(99, 'token = "' + KEYS[0][1] + '"')], "doc_id long, text string")
+    spans = {r["doc"]: [(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == "private"] for r in secrets.scan(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for i, (a, key, b) in enumerate(KEYS):
+        assert spans[i] == [(len(a), len(a + key))] and out[i] == a + "[SECRET]" + b, i
+    assert out[99] == 'token = "[SECRET]"'
+
+
+def test_key_marks_without_an_end_take_linear_time(spark):
+    many = [(0, BEGIN * 20000), (1, BEGIN + "\n" * 200000 + "a b"), (2, BEGIN + "Zm9v " * 100000 + "-"), (3, "\n".join([BEGIN] + ["Zm9v" * (1 + i % 9) for i in range(50000)]))]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert out[0] == "[SECRET]" * 20000 and out[3] == "[SECRET]"
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]{24,}") == ANY and trigram_query("a.c") == ANY
     assert trigram_query("AKIA[A-Z0-9]+") == frozenset([frozenset({"aki", "kia"})])
