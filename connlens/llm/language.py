@@ -5,6 +5,12 @@ its largest response, and a softmax over those gives the languages. It is
 trained in numpy on a bounded sample of labelled windows. A text is cut into
 windows that cover it whole; its language has the largest mean share.
 
+Shares say which of the learned languages is nearest, not whether it is one of
+them. That is told by a profile of byte triples of each language, from the same
+labelled windows: a text's likeness is 1 where its bytes are as probable as those
+of held-out windows of its language, and 0 where they are as improbable as the
+same windows with their bytes shuffled.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without labelled rows every text is ``und``; ties go to the language that sorts
 first; repeated rows get equal results; an empty table gives an empty result.
@@ -14,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,8 +38,21 @@ WINDOWS = 6
 #: Languages learned at most: those with most labelled rows.
 LANGUAGES = 200
 UNKNOWN = "und"
+#: Classes of bytes in a profile: the most common bytes of the language, and all others.
+CLASSES = 32
+#: Triples by which a text is taken as typical beforehand, so that a few odd bytes don't decide on a short one.
+PRIOR = 4
 
 _LETTER = re.compile(r"[^\W\d_]")
+_NUMBER = re.compile(rb"[0-9][0-9a-z]*")
+
+
+@dataclass(frozen=True)
+class Profile:
+    classes: np.ndarray  # of the 256 bytes
+    table: np.ndarray  # logarithm of the probability of a byte after two others, by their classes
+    typical: float = 0.0
+    noise: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -43,6 +62,7 @@ class Model:
     shifts: tuple[np.ndarray, ...]
     dense: np.ndarray
     bias: np.ndarray
+    profiles: tuple[Profile, ...] = ()  # for each language
 
 
 def windows_of(raw: bytes) -> np.ndarray:
@@ -133,6 +153,63 @@ def train(windows: np.ndarray, target: np.ndarray, languages: tuple[str, ...], e
     return model
 
 
+def _plain(raw: bytes) -> np.ndarray:
+    """Bytes that a profile judges: numbers and keys are one digit each, so that a long one counts as one odd word."""
+    return np.frombuffer(_NUMBER.sub(b"0", raw.translate(LOWER.tobytes())), np.uint8)
+
+
+def _codes(raw: np.ndarray, profile: Profile) -> np.ndarray:
+    c = profile.classes[raw].astype(np.int32)
+    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+
+
+def _counted(pieces: list[np.ndarray], smooth: float = 8.0) -> Profile:
+    """Probabilities of triples, smoothed by those of pairs and these by those of single bytes."""
+    common = np.bincount(np.concatenate(pieces), minlength=256)
+    classes = np.full(256, CLASSES - 1, np.uint8)
+    own = np.argsort(-common, kind="stable")[: CLASSES - 1]
+    classes[own] = np.arange(CLASSES - 1)
+    profile = Profile(classes, np.zeros(0))
+    codes = np.concatenate([_codes(x, profile) for x in pieces if len(x) > 2] or [np.zeros(0, np.int32)])
+    three = np.bincount(codes, minlength=CLASSES**3).reshape((CLASSES,) * 3).astype(float)
+    two = three.sum(axis=0)
+    one = (two.sum(axis=0) + 0.5) / (two.sum() + 0.5 * CLASSES)
+    pair = (two + smooth * one) / (two.sum(axis=1, keepdims=True) + smooth)
+    triple = (three + smooth * pair) / (three.sum(axis=2, keepdims=True) + smooth)
+    triple[:, :, CLASSES - 1] /= 256 - (CLASSES - 1)
+    return replace(profile, table=np.log(triple).ravel().astype(np.float32))
+
+
+def _evidence(raw: np.ndarray, profile: Profile, most: int = 1 << 20) -> tuple[float, int]:
+    """Sum over all triples of a text, and their number."""
+    total = 0.0
+    for at in range(0, len(raw) - 2, most):
+        total += float(profile.table[_codes(raw[at : at + most + 2], profile)].sum(dtype=float))
+    return total, max(0, len(raw) - 2)
+
+
+def profiled(pieces: list[list[np.ndarray]], seed: int = 7) -> Profile:
+    """Profile of one language, from the windows of each of its documents; each half of the documents is judged by the other."""
+    rng = np.random.default_rng(seed)
+    halves = [pieces[::2], pieces[1::2] or pieces]
+    means: tuple[list, list] = ([], [])
+    for own, other in (halves, halves[::-1]):
+        profile = _counted([x for doc in own for x in doc])
+        for x in (x for doc in other for x in doc if len(x) > 2):
+            for found, y in zip(means, (x, rng.permutation(x)), strict=True):
+                found.append(_evidence(y, profile)[0] / (len(x) - 2))
+    typical, noise = (float(np.median(x)) if x else 0.0 for x in means)
+    return replace(_counted([x for doc in pieces for x in doc]), typical=typical, noise=noise)
+
+
+def likeness(text: str, profile: Profile) -> float:
+    """1 for a text like those of the profile's language, 0 for one like noise of the same bytes; it may lie outside of both."""
+    total, n = _evidence(_plain(text.encode("utf-8", "replace")), profile)
+    mean = (total + PRIOR * profile.typical) / (n + PRIOR)
+    # Where shuffled text looks the same, as in one repeated letter, a natural unit stands for the distance.
+    return 1 + (mean - profile.typical) / max(profile.typical - profile.noise, 1.0)
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, windows: int = WINDOWS, languages: int = LANGUAGES) -> Model | None:
     """Fit on at most ``sample`` documents of each language, drawn by a hash of key and text.
 
@@ -161,13 +238,18 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     few = drawn.mapInPandas(cut, "lang string, o long, w binary").distinct().orderBy("o", "lang").limit(2 * sample * len(names)).collect()
     taken: dict[str, int] = {}
     data, target = [], []
+    pieces: dict[str, list] = {name: [] for name in names}
     for r in few:
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= sample:
             found = np.frombuffer(r["w"], np.uint8).reshape(-1, WINDOW)
             data.append(found)
             target += [names.index(r["lang"])] * len(found)
-    return train(np.concatenate(data), np.array(target), names) if data else None
+            pieces[r["lang"]].append([_plain(w.tobytes().rstrip(b"\0")) for w in found])
+    if not data:
+        return None
+    # A language whose labelled texts have no letter is never found, so its profile is never asked.
+    return replace(train(np.concatenate(data), np.array(target), names), profiles=tuple(profiled(pieces[n] or [[np.zeros(0, np.uint8)]]) for n in names))
 
 
 def predict(texts: list, model: Model | None, paired: list | None = None, most: int = 96) -> tuple[list[str], np.ndarray]:
@@ -217,6 +299,21 @@ def language_column(text: Column, model: Model | None) -> Column:
     return named(text)
 
 
+def known_column(text: Column, model: Model | None) -> Column:
+    """struct(lang, score, likeness): as ``language_column``, with the likeness of the text to its language; 0 where there is none."""
+
+    @F.pandas_udf("lang string, score double, likeness double")
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        paired = _pairs(model) if model is not None else None
+        for batch in batches:
+            texts = list(batch)
+            names, scores = predict(texts, model, paired)
+            near = [0.0 if n == UNKNOWN else likeness(t, model.profiles[model.languages.index(n)]) for t, n in zip(texts, names, strict=True)]
+            yield pd.DataFrame({"lang": names, "score": scores, "likeness": near})
+
+    return named(text)
+
+
 def learnable(key: Column) -> Column:
     """Rows that a fit may learn from: a quarter of the keys is held out."""
     return F.coalesce(remainder(key, 4) != 2, F.lit(False))

@@ -16,8 +16,8 @@ from connlens.llm import jaccard, language, packing, quality, secrets
 from connlens.llm.common import fresh, quoted, saved, table
 from connlens.session import shipped
 
-#: A document is rejected when its language has less than this share, or it has no letter.
-LEAST_LANGUAGE = 0.25
+#: A document is rejected when it is less like its language than this (1: as its labelled texts, 0: as noise), or has no letter.
+LEAST_LANGUAGE = 0.4
 #: A document is rejected when its score is below this.
 LEAST_QUALITY = 0.5
 
@@ -30,10 +30,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; null texts and texts without a letter go."""
+    """Documents in one of the labelled languages; other languages, noise, null texts and texts without a letter go."""
     found = fresh(docs, "_found")
-    named = docs.withColumn(found, language.language_column(F.col("text"), language.fit(docs)))
-    return named.filter((quoted(found)["lang"] != language.UNKNOWN) & (quoted(found)["score"] >= LEAST_LANGUAGE)).drop(found)
+    named = docs.withColumn(found, language.known_column(F.col("text"), language.fit(docs)))
+    return named.filter((quoted(found)["lang"] != language.UNKNOWN) & (quoted(found)["likeness"] >= LEAST_LANGUAGE)).drop(found)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,6 +174,22 @@ def test_pipeline_stages(spark, sf_dir):
     assert stages["secrets"](spark, docs, sf).count() == docs.count()
 
 
+FOREIGN = [
+    "La Repubblica italiana è uno Stato situato nell'Europa meridionale e il suo territorio coincide in gran parte con una regione geografica.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+    "12 345 a 99 81 b 72635 c 9172 x 22 91 3 8 45 0912 7712 y 17 4", "".join(chr(33 + i * i * 7 % 91) for i in range(400)), "xQ#9~k" * 60,
+]
+
+
+def test_language_stage_rejects_other_languages_and_noise(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = {r["doc_id"] for r in docs.join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1"), "doc_id").collect()}
+    odd = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(odd), sf).select("doc_id").collect()}
+    assert not {i for i in kept if i < 0} and len(clean) > 100 and len(clean - kept) <= 0.005 * len(clean)
+
+
 def brute_small(rows):
     """Classes of many texts: only texts that share a shingle are compared."""
     sets = {d: shingle_set(t) for d, t in rows}
