@@ -5,7 +5,8 @@ and its normal form, whatever the spelling of a mention, so all mentions of one
 entity get one surrogate. A surrogate is drawn with a key from the entity and a
 number of the attempt: every letter or digit gives way to one of its own class,
 a card number keeps whether its check digit is right, a name keeps its gender
-and script. Then all entities are checked against each other and against all
+and script. A value that collides time and again grows, so that no type runs out
+of values. Then all entities are checked against each other and against all
 originals: of those that share a surrogate one keeps it, the rest, and whatever
 equals an original, are drawn again until none is left.
 
@@ -26,8 +27,11 @@ from connlens.llm.common import fresh, quoted, saved, table, with_value
 
 KEY = "connlens"
 SALTS = 16
-#: Attempts after which something is wrong with the key or the spaces of the types.
+#: Attempts after which something is wrong with the key: by then every value has grown by many letters or digits.
 ATTEMPTS = 40
+#: Attempts after which a value grows, by one more letter, digit or syllable each. Kinds of a fixed length have far more
+#: values and keep their format for longer.
+GROWS, FIXED_GROWS = 3, 12
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -95,6 +99,12 @@ def _check_digit(body: Column) -> Column:
     return F.pmod(-F.aggregate(doubled, F.lit(0), lambda a, d: a + d), F.lit(10))
 
 
+def _grown(attempt: Column, kind: Column, one) -> Column:
+    """Texts ``one(j)`` for as many j as the attempt adds, one after the other."""
+    n = F.when(kind.isin("card", "social", "address"), F.floor((attempt - 1) / FIXED_GROWS)).otherwise(F.floor((attempt - 1) / GROWS)).cast("int")
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")).otherwise("")
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
     """Normal form of the surrogate of an entity at an attempt."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
@@ -113,15 +123,24 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Co
             letter = F.substr(F.lit(LETTERS), F.pmod(number(i), F.lit(26)).cast("int") + 1, F.lit(1))
             return F.when(kept, c).when(c.rlike("^[0-9]$"), digit).when(c.rlike("^[a-z]$"), letter).otherwise(c)
 
-        spelled = F.array_join(F.transform(chars, one), "")
+        def letter_of(j: Column) -> Column:
+            return F.substr(F.lit(LETTERS), F.pmod(number(j * 7 + 3), F.lit(26)).cast("int") + 1, F.lit(1))
+
+        more = F.when(kind.isin("phone", "card", "social"), _grown(attempt, kind, lambda j: F.pmod(number(j * 7 + 3), F.lit(10)).cast("string"))).otherwise("")
+        before = F.when(kind == "email", _grown(attempt, kind, letter_of)).otherwise("")
+        spelled = F.concat(before, F.array_join(F.transform(chars, one), ""), more)
         body = F.substr(spelled, F.lit(1), F.length(spelled) - 1)
         right = F.substr(norm, F.length(norm), F.lit(1)).cast("int") == _check_digit(F.substr(norm, F.lit(1), F.length(norm) - 1))
         card = F.when(right, F.concat(body, _check_digit(body).cast("string"))).otherwise(spelled)
         octets = F.array_join(F.transform(F.split(norm, r"\."), lambda _, i: (F.pmod(number(i), F.lit(254)) + 1).cast("string")), ".")
+        octets = F.concat(octets, _grown(attempt, kind, lambda j: F.concat(F.lit("."), (F.pmod(number(j * 7 + 3), F.lit(254)) + 1).cast("string"))))
         five = _numbers(s, 6)
 
         def word(script: str) -> Column:
-            return F.initcap(F.concat(*[_pick(SYLLABLES[script], x) for x in five[:4]]))
+            return F.initcap(F.concat(*[_pick(SYLLABLES[script], x) for x in five[:4]], grown(script)))
+
+        def grown(script: str) -> Column:
+            return _grown(attempt, kind, lambda j: _pick(SYLLABLES[script], number(j * 7 + 3)))
 
         out = F.when(kind == "card", card).when(kind == "address", octets)
         for script in SYLLABLES:
@@ -129,8 +148,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Co
             for gender in ("m", "f"):
                 # Once the short list is taken, a given name grows by a syllable.
                 more = F.when(attempt > 0, _pick(SYLLABLES[script], five[4])).otherwise("")
-                more = F.concat(more, F.when(attempt > 3, _pick(SYLLABLES[script], five[5])).otherwise(""))
-                out = out.when(kind == f"given-{gender}-{script}", F.concat(_pick(GIVEN[gender, script], five[0]), more))
+                out = out.when(kind == f"given-{gender}-{script}", F.concat(_pick(GIVEN[gender, script], five[0]), more, grown(script)))
         return out.otherwise(spelled)
 
     return with_value(seed, drawn)
@@ -141,8 +159,13 @@ def _shown(m: Column, kind: Column, values: Column) -> Column:
     value = F.replace(F.element_at(values, 1), F.lit("+"), F.lit(""))
     chars = F.filter(F.split(m, ""), lambda c: c != "")
     place = F.transform(chars, lambda c, i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", "")))
-    digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(value, F.get(place, i), F.lit(1))).otherwise(c)), "")
-    mail = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substr(value, i + 1, F.lit(1)))).otherwise(F.substr(value, i + 1, F.lit(1)))), "")
+    # What a value has grown by follows the last digit of a number, and stands before an address.
+    last = F.length(F.regexp_replace(m, "[^0-9]", ""))
+    taken = F.transform(place, lambda n: F.substr(value, n, F.when(n == last, F.length(value)).otherwise(1)))
+    digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.get(taken, i)).otherwise(c)), "")
+    ahead = F.length(value) - F.length(m)
+    letters = F.transform(chars, lambda c, i: with_value(F.substr(value, ahead + i + 1, F.lit(1)), lambda v: F.when(c.rlike("^[A-Z]$"), F.upper(v)).otherwise(v)))
+    mail = F.concat(F.substr(value, F.lit(1), ahead), F.array_join(letters, ""))
     name = F.concat_ws(" ", F.element_at(F.split(m, " "), 1), F.array_join(values, " "))
     return F.when(kind == "email", mail).when(kind == "address", value).when(kind == "name", name).otherwise(digits)
 
@@ -173,7 +196,7 @@ def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
             "type", "norm", attempt.alias("attempt"), F.when(F.col("lost"), surrogate(F.col("type"), F.col("norm"), attempt, key)).otherwise(F.col("value")).alias("value"),
             F.when(F.col("lost"), round_).otherwise(F.col("since")).alias("since"),
         ), "surrogates")
-    raise RuntimeError("some surrogates stay equal: a type has too few values for its entities")
+    raise RuntimeError("some surrogates stay equal: the key gives too few values")
 
 
 def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:

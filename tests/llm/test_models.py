@@ -92,6 +92,28 @@ def test_surrogates_stay_distinct_where_space_is_short(spark):
     assert len(values) == 100 and not values & {r["norm"] for r in rows} and max(r["attempt"] for r in rows) > 0
 
 
+def test_no_number_of_entities_fills_a_type(spark, monkeypatch):
+    """More originals than values of their own length: the rest must grow."""
+    monkeypatch.setitem(surrogates.GIVEN, ("m", "latin"), ["Adam"])
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["ba", "be"])
+    number = spark.range(0, 95).select(F.lit("phone").alias("type"), F.format_string("1+%02d", "id").alias("norm"))
+    given = spark.range(0, 60).select(F.lit("given-m-latin").alias("type"), F.format_string("Name%d", "id").alias("norm"))
+    rows = surrogates.assigned(number.unionByName(given)).collect()
+    values = {(r["type"], r["value"]) for r in rows}
+    assert len(rows) == len(values) == 95 + 60 and not values & {(r["type"], r["norm"]) for r in rows}
+    assert all(v.startswith("1+") for t, v in values if t == "phone")
+
+
+def test_a_grown_surrogate_is_shown_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([("Call +1 23 45 or +1 23 45, mail A@b.co",)], "text string")
+    real = surrogates.assigned
+    monkeypatch.setattr(surrogates, "assigned", lambda found, key: real(found, key).withColumn("attempt", F.lit(8)))
+    row = surrogates.replaced(docs).first()
+    values = [m["value"] for m in row["mentions"]]
+    assert values[0] == values[1] and re.fullmatch(r"\+1 \d\d \d{4}", values[0]) and re.fullmatch(r"[a-z]{2}[A-Z]@[a-z]\.co", values[2])
+    assert row["text"] == f"Call {values[0]} or {values[1]}, mail {values[2]}"
+
+
 def test_drawn_again_entities_are_looked_up(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "see 10.0.0.1 and 10.0.0.2"), (2, "10.0.0.1"), (3, "plain")], "doc_id long, text string")
     plain = {m["original"]: m["value"] for r in surrogates.replaced(docs).collect() for m in r["mentions"]}
