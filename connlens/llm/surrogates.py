@@ -43,7 +43,15 @@ SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа")
 _TITLE = "|".join((*FEMALE, *MALE))
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})"
+#: A capital or a letter of a script without capitals, then letters; parts after an apostrophe belong to the word.
+_WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+(?:['’][\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+)*+"
+#: One unit of a name: an initial or a word. Units are joined by a space or a hyphen, or stand side by side as initials do.
+UNIT = rf"(?:\p{{Lu}}\.|{_WORD})"
+_JOINED = rf"{UNIT}(?:-?{UNIT})*+"
+_PARTICLE = r"(?:(?:von|van|der|den|zu|zum|di|da|del|della|de|du|la|le|el|al|bin|ibn|ter|ten)\x20)*+"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?\x20{_PARTICLE}{_JOINED}(?:\x20{_PARTICLE}{_JOINED}){{0,2}}+(?!\p{{L}})"
+#: A unit of a name anywhere else in a text.
+UNTITLED = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){UNIT}(?![\p{{L}}\p{{N}}])"
 KINDS = (("email", EMAIL), ("address", ADDRESS), ("phone", PHONE), ("social", SOCIAL), ("card", CARD), ("name", NAME))
 ANY = "|".join(f"(?:{regex})" for _, regex in KINDS)
 
@@ -55,6 +63,11 @@ GIVEN = {
 }
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no pa pe ra re ro sa se ta te to va".split(),
+    "greek": "βα βε γα γο δα δε δο κα κο λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε τα τε το φα φε".split(),
+    "arabic": "با بو دا دو را رو سا سو فا فو كا كو لا لو ما مو نا نو تا تو شا شو".split(),
+    "hebrew": "בא בו גא גו דא דו לא לו מא מו נא נו רא רו שא שו תא תו".split(),
+    "han": "安 白 成 达 恩 方 高 和 江 康 林 明 宁 平 庆 荣 山 天 文 新 云 泽 正 志".split(),
+    "hangul": "가 나 다 라 마 바 사 아 자 하 고 노 도 로 모 보 소 오 조 호 기 미 수 우".split(),
     "cyrillic": "ба бе бо ва ве во га го да де до ка ко ла ле ло ма ме мо на не но па по ра ре ро са се та те то".split(),
 }
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -66,8 +79,22 @@ def _kind(m: Column) -> Column:
     return out.when(m.rlike(r"^(?:\d{13,19}|\d{4}(?:[\x20-]\d{4}){3})$"), "card").when(m.rlike(r"^\p{Lu}"), "name").otherwise("phone")
 
 
-def _name_parts(m: Column) -> Column:
-    return F.slice(F.split(m, " "), 2, 9)
+def _name_units(m: Column) -> Column:
+    """struct(g, w): the units of a name, and what stands between them, the title first."""
+    title = F.regexp_extract(m, rf"^(?:{_TITLE})\.?\x20{_PARTICLE}", 0)
+    rest = F.substr(m, F.length(title) + 1)
+    return with_value(F.struct(title.alias("t"), rest.alias("r")), lambda x: F.struct(
+        F.transform(F.split(x["r"], UNIT, -1), lambda g, i: F.when(i == 0, F.concat(x["t"], g)).otherwise(g)).alias("g"), F.regexp_extract_all(x["r"], F.lit(UNIT), F.lit(0)).alias("w")))
+
+
+def _plain(w: Column) -> Column:
+    """A unit as it is known: words of capitals alone have one."""
+    return F.when((F.length(w) > 2) & (w == F.upper(w)) & (w != F.lower(w)), F.initcap(w)).otherwise(w)
+
+
+def _spelled(w: Column, value: Column) -> Column:
+    """A unit's value in the capitals of a mention."""
+    return F.when(w == _plain(w), value).otherwise(F.upper(value))
 
 
 def _units(m: Column, kind: Column) -> Column:
@@ -78,9 +105,20 @@ def _units(m: Column, kind: Column) -> Column:
     phone = F.when(country != "", F.concat(country, F.lit("+"), F.substr(digits, F.length(country) + 1))).otherwise(digits)
     norm = F.when(kind == "email", F.lower(m)).when(kind == "address", m).when(kind == "phone", phone).otherwise(digits)
     gender = F.when(m.rlike(f"^(?:{'|'.join(FEMALE)})\\b"), "f").otherwise("m")
-    script = F.when(m.rlike(r"\x20\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    parts = _name_parts(m)
-    named = F.transform(parts, lambda w, i: F.struct(F.concat_ws("-", F.when(i == F.size(parts) - 1, "family").otherwise("given"), gender, script).alias("type"), w.alias("norm")))
+    # Units of the last word are of the family; particles belong to no unit.
+    def typed(x: Column) -> Column:
+        last = F.size(F.regexp_extract_all(F.regexp_extract(m, r"[^\x20]+$", 0), F.lit(UNIT), F.lit(0)))
+
+        def unit(w: Column, i: Column) -> Column:
+            script = F.lit("latin")
+            for name in SYLLABLES:
+                script = F.when(w.rlike(rf"\p{{Is{name.capitalize()}}}"), name).otherwise(script) if name != "latin" else script
+            part = F.when(w.endswith("."), "initial").when(i >= F.size(x) - last, "family").otherwise("given")
+            return F.struct(F.concat_ws("-", part, gender, script).alias("type"), _plain(w).alias("norm"))
+
+        return F.transform(x, unit)
+
+    named = with_value(_name_units(m)["w"], typed)
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("type"), norm.alias("norm"))))
 
 
@@ -144,8 +182,11 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Co
 
         out = F.when(kind == "card", card).when(kind == "address", octets)
         for script in SYLLABLES:
-            out = out.when(kind.startswith("family") & kind.endswith(script), word(script))
-            for gender in ("m", "f"):
+            plain = kind.startswith("family") if any(s == script for _, s in GIVEN) else kind.startswith("family") | kind.startswith("given")
+            out = out.when(plain & kind.endswith(script), word(script))
+            initial = F.concat(F.initcap(F.concat(F.substr(_pick(SYLLABLES[script], five[0]), F.lit(1), F.lit(1)), F.when(attempt > 0, _pick(SYLLABLES[script], five[1])).otherwise(""), grown(script))), F.lit("."))
+            out = out.when(kind.startswith("initial") & kind.endswith(script), initial)
+            for gender in [g for g, s in GIVEN if s == script]:
                 # Once the short list is taken, a given name grows by a syllable.
                 more = F.when(attempt > 0, _pick(SYLLABLES[script], five[4])).otherwise("")
                 out = out.when(kind == f"given-{gender}-{script}", F.concat(_pick(GIVEN[gender, script], five[0]), more, grown(script)))
@@ -166,7 +207,7 @@ def _shown(m: Column, kind: Column, values: Column) -> Column:
     ahead = F.length(value) - F.length(m)
     letters = F.transform(chars, lambda c, i: with_value(F.substr(value, ahead + i + 1, F.lit(1)), lambda v: F.when(c.rlike("^[A-Z]$"), F.upper(v)).otherwise(v)))
     mail = F.concat(F.substr(value, F.lit(1), ahead), F.array_join(letters, ""))
-    name = F.concat_ws(" ", F.element_at(F.split(m, " "), 1), F.array_join(values, " "))
+    name = with_value(_name_units(m), lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(_spelled(F.get(x["w"], i), F.get(values, i)), F.lit("")))), ""))
     return F.when(kind == "email", mail).when(kind == "address", value).when(kind == "name", name).otherwise(digits)
 
 
@@ -199,6 +240,23 @@ def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError("some surrogates stay equal: the key gives too few values")
 
 
+def _dealt(names: Column) -> Column:
+    """'norm|value' texts dealt by a hash of the norm to about as many arrays as the root of their number."""
+    n = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(names))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(names, lambda x: F.pmod(F.xxhash64(F.substring_index(x, "|", 1)), n) == b))
+
+
+def _untitled(gap: Column, known: Column) -> Column:
+    """struct(g, w) of a text between mentions: its capitalised words, with their values where they are a known name; a word of two genders or places has that of the first mention."""
+
+    def one(w: Column) -> Column:
+        norm = F.concat(_plain(w), F.lit("|"))
+        held = F.filter(F.get(known, F.pmod(F.xxhash64(_plain(w)), F.size(known)).cast("int")), lambda x: x.startswith(norm))
+        return with_value(F.get(held, F.lit(0)), lambda x: F.struct(F.when(x.isNotNull() & (F.length(w) > 1), "name").alias("kind"), w.alias("original"), F.when(F.length(w) > 1, F.coalesce(_spelled(w, F.substr(x, F.length(norm) + 1)), w)).otherwise(w).alias("value")))
+
+    return F.struct(F.split(gap, UNTITLED, -1).alias("g"), F.transform(F.regexp_extract_all(gap, F.lit(UNTITLED), F.lit(0)), one).alias("w"))
+
+
 def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and a column array<struct(kind, start, value)> of the mentions."""
     again = assigned(entities(docs, text), key).filter("attempt > 0").select("type", "norm", "attempt")
@@ -221,12 +279,22 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
         units = _units(m, kind)
         number = F.coalesce
         values = F.transform(units, lambda u: surrogate(u["type"], u["norm"], number(F.try_element_at(quoted(tries), _label(u)), F.lit(0)), key))
-        return F.struct(kind.alias("kind"), m.alias("m"), _shown(m, kind, values).alias("value"))
+        names = F.when(kind == "name", F.transform(units, lambda u, i: F.concat(u["norm"], F.lit("|"), F.get(values, i)))).otherwise(F.array().cast("array<string>"))
+        return F.struct(kind.alias("kind"), m.alias("m"), _shown(m, kind, values).alias("value"), names.alias("names"))
 
     made = fresh(rows, "_made")
     rows = rows.withColumn(made, F.when(value.rlike(ANY), with_value(parts, lambda x: F.struct(x["g"].alias("g"), F.transform(x["w"], mention).alias("w")))))
-    joined = F.array_join(F.transform(quoted(made)["g"], lambda g, i: F.concat(g, F.coalesce(F.get(quoted(made)["w"], i)["value"], F.lit("")))), "")
-    found = F.coalesce(F.transform(quoted(made)["w"], lambda w: F.struct(w["kind"].alias("kind"), w["m"].alias("original"), w["value"].alias("value"))), F.array().cast("array<struct<kind:string,original:string,value:string>>"))
+    # Untitled mentions of the names found in the same text, looked up among the text's own names by a hash.
+    known = with_value(F.array_distinct(F.flatten(F.transform(quoted(made)["w"], lambda w: w["names"]))), _dealt)
+    rest = fresh(rows, "_rest")
+    plain = F.transform(quoted(made)["g"], lambda g: F.struct(F.array(g).alias("g"), F.array().cast("array<struct<kind:string,original:string,value:string>>").alias("w")))
+    again_of = with_value(known, lambda b: F.transform(quoted(made)["g"], lambda g, i: _untitled(g, b)))
+    rows = rows.withColumn(rest, F.when(F.exists(quoted(made)["w"], lambda w: w["kind"] == "name"), again_of).otherwise(plain))
+    joined = F.array_join(F.transform(quoted(rest), lambda x, i: F.concat(
+        F.array_join(F.transform(x["g"], lambda g, j: F.concat(g, F.coalesce(F.get(x["w"], j)["value"], F.lit("")))), ""), F.coalesce(F.get(quoted(made)["w"], i)["value"], F.lit("")))), "")
+    mentions = F.flatten(F.transform(quoted(rest), lambda x, i: F.concat(
+        F.filter(x["w"], lambda w: w["kind"] == "name"), F.transform(F.slice(quoted(made)["w"], i + 1, 1), lambda w: F.struct(w["kind"].alias("kind"), w["m"].alias("original"), w["value"].alias("value"))))))
+    found = F.coalesce(mentions, F.array().cast("array<struct<kind:string,original:string,value:string>>"))
     kept = [F.coalesce(joined, value).alias(text) if c == text else quoted(c) for c in docs.columns]
     return rows.select(*kept, found.alias(fresh(docs, "mentions")))
 

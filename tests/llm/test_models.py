@@ -125,5 +125,23 @@ def test_drawn_again_entities_are_looked_up(spark, monkeypatch):
         assert (value == plain[original]) == (original == "10.0.0.2")
 
 
+def test_untitled_mentions_get_the_surrogate_of_their_name(spark):
+    texts = [
+        "Mr John Smith came. Smith said so, and John Smith left; Smith's hat, SMITH, Smithson.", "Mr J. Smith and Mr McDonald; Mr O'Brien met Ms Smith-Jones. McDonald, O'Brien and Jones sat.", "Mr Παπαδόπουλος here. Παπαδόπουλος there",
+        "Herr von Goethe; Goethe schrieb. John Smith of another text stays", "Mr 王伟 and Mr J.R. Tolkien",
+    ]
+    rows = surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    out = [r["text"] for r in rows]
+    john, smith = rows[0]["mentions"][0]["value"].split()[1:]
+    assert out[0] == f"Mr {john} {smith} came. {smith} said so, and {john} {smith} left; {smith}'s hat, {smith.upper()}, Smithson."
+    assert [m["original"] for m in rows[0]["mentions"]] == ["Mr John Smith", "Smith", "John", "Smith", "Smith", "SMITH"]
+    assert not re.search(r"J\.|Smith|Jones|McDonald|Brien", out[1])
+    a, b, c = re.fullmatch(r"Mr \w+\. \w+ and Mr (\w+); Mr (\w+) met Ms \w+-(\w+)\. \1, \2 and \3 sat\.", out[1]).groups()
+    word = re.fullmatch(r"Mr ([Α-ω]+) here\. \1 there", out[2])
+    assert len({a, b, c}) == 3 and word and "Παπ" not in out[2]
+    assert re.fullmatch(r"Herr von (\w+); \1 schrieb\. John Smith of another text stays", out[3]) and "Goethe" not in out[3]
+    assert re.fullmatch(r"Mr [\u4e00-\u9fff]+ and Mr \w+\.\w+\. \w+", out[4]) and "王伟" not in out[4] and "Tolkien" not in out[4]
+
+
 def test_surrogates_of_an_empty_table(spark, none):
     assert surrogates.replaced(none).count() == 0
