@@ -235,6 +235,6 @@ def linear_one_class(spark, sf_dir):
     log = fx.conn(spark, sf_dir)
     fitted = scaling.fit_scaler(log, ["duration", "orig_bytes", "orig_pkts"])
     z = scaling.apply_scaler(log, scaling.Scaler(fitted.features, (0.0,) * 3, fitted.std), "pre")
-    model = fit_one_class(z, kernel="linear", nu=0.1, epochs=8)
+    model = fit_one_class(z, kernel="linear", nu=0.1)
     scored = score_one_class(z, model).withColumn("prediction", scoring.label("score"))
     return metrics.value_counts(scored, "prediction").select("prediction", (F.col("n") > 0).alias("present"))

@@ -184,3 +184,11 @@ def test_folds_are_balanced_in_every_class(spark):
     tiny = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y")], "uid string, class_name string")
     assert rows(attack_model.stratified_split(tiny), "uid", "side") == [("a", "train"), ("b", "train"), ("c", "train")]
     assert attack_model.folds(tiny, count=5).filter("fold BETWEEN 0 AND 4").count() == 3
+
+
+def test_linear_one_class_runs_all_default_epochs(spark, sf_dir, monkeypatch):
+    from connlens.plans import model_queries
+
+    asked, real = [], model_queries.fit_one_class
+    monkeypatch.setattr(model_queries, "fit_one_class", lambda z, **options: asked.append(options) or real(z, **options))
+    assert model_queries.linear_one_class(spark, sf_dir).count() == 2 and "epochs" not in asked[0]
