@@ -35,8 +35,6 @@ FILTERS = 16
 #: Labelled documents used by the fit, of each language, and windows taken of each document.
 SAMPLE = 200
 WINDOWS = 6
-#: Languages learned at most: those with most labelled rows.
-LANGUAGES = 200
 UNKNOWN = "und"
 #: Classes of bytes in a profile: the most common bytes of the language, and all others.
 CLASSES = 32
@@ -210,14 +208,14 @@ def likeness(text: str, profile: Profile) -> float:
     return 1 + (mean - profile.typical) / max(profile.typical - profile.noise, 1.0)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, windows: int = WINDOWS, languages: int = LANGUAGES) -> Model | None:
-    """Fit on at most ``sample`` documents of each language, drawn by a hash of key and text.
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, windows: int = WINDOWS) -> Model | None:
+    """Fit on at most ``sample`` documents of each labelled language, drawn by a hash of key and text.
 
     A first count by language (map-side combined) gives the share to draw; the
     drawn rows are cut to ``sample`` by their hash among those few.
     """
     rows = docs.select(quoted(lang).alias("lang"), quoted(text).alias("t"), F.xxhash64(quoted(key), quoted(text)).alias("o")).filter("lang is not null and t is not null and length(t) > 0")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
     names = tuple(sorted(r["lang"] for r in counts))

@@ -45,6 +45,12 @@ def test_language_of_odd_rows(spark, odd, none):
     assert language.fit(none) is None and language.predict(["abc", None], None)[0] == ["und", "und"]
 
 
+def test_all_labelled_languages_are_learned(spark):
+    docs = spark.createDataFrame([(i, f"text of number {i}", f"l{i:03d}") for i in range(205)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == tuple(f"l{i:03d}" for i in range(205)) and len(model.profiles) == 205
+
+
 def test_windows_cover_a_text():
     raw = bytes(range(97, 123)) * 50
     assert language.windows_of(raw).tobytes().rstrip(b"\0") == raw
