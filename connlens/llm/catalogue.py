@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from connlens.llm import jaccard, language, licenses, neighbours, packing, pieces, quality, secrets, surrogates, topk
+from connlens.llm import jaccard, language, licenses, neighbours, packing, pieces, quality, secrets, surrogates, token_files, topk
 from connlens.session import shipped
 
 _RUN = {
@@ -14,6 +14,7 @@ _RUN = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_surrogates": surrogates.op9_surrogates,
     "op10_pieces": pieces.op10_pieces,
+    "op11_frames": token_files.op11_frames,
 }
 QUERIES = {name: shipped(run) for name, run in _RUN.items()}
 ORACLES = {"op1_secrets": secrets.SQL, "op3_topk": topk.SQL, "op6_licenses": licenses.SQL, "op8_jaccard": jaccard.SQL}
