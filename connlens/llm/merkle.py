@@ -72,19 +72,24 @@ def _rounds(size: int, height: int, step: int) -> int:
     return min(step, (size - 1).bit_length() - height)
 
 
+def _raised(height: int, step: int):
+    """Nodes of an aligned subtree to its root."""
+
+    def raised(group: pa.Table) -> pa.Table:
+        tree, pos, size = (group[c][0].as_py() for c in ("tree", "pos", "size"))
+        digests = group.sort_by("pos")["digest"].to_pylist()
+        top = _levels(digests, _rounds(size, height, step))[-1][0]
+        return pa.table({"tree": [tree], "pos": [pos >> step], "size": [size], "digest": [top]})
+
+    return raised
+
+
 def layers(nodes: DataFrame, deepest: int, step: int = STEP) -> list[DataFrame]:
     """The nodes at heights 0, step, 2 * step, ... as written tables; a tree that ends between two has its root in the next."""
     out = [nodes]
     for height in range(0, deepest, step):
-
-        def raised(group: pa.Table, height: int = height) -> pa.Table:
-            tree, pos, size = (group[c][0].as_py() for c in ("tree", "pos", "size"))
-            digests = group.sort_by("pos")["digest"].to_pylist()
-            top = _levels(digests, _rounds(size, height, step))[-1][0]
-            return pa.table({"tree": [tree], "pos": [pos >> step], "size": [size], "digest": [top]})
-
         below = out[-1].select("tree", "pos", "size", "digest").filter(depth(F.col("size")) > height)
-        above = below.groupBy("tree", F.shiftright("pos", step).alias("_block")).applyInArrow(raised, _NODES)
+        above = below.groupBy("tree", F.shiftright("pos", step).alias("_block")).applyInArrow(_raised(height, step), _NODES)
         out.append(saved(above, "merkle-layer"))
     return out
 
@@ -98,6 +103,38 @@ def roots(made: list[DataFrame], step: int = STEP) -> DataFrame:
     return out
 
 
+def _extracted(height: int, step: int):
+    """Nodes of an aligned subtree, and what follows above its root, to the proofs of the nodes."""
+
+    def extracted(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("pos")
+        rounds = max(0, _rounds(nodes["size"][0].as_py(), height, step)) if nodes.num_rows else 0
+        levels = _levels(nodes["digest"].to_pylist(), rounds)[:-1]
+        rest_sides, rest, subroot = (above[c][0].as_py() if above.num_rows else None for c in ("sides", "siblings", "subroot"))
+        # A subtree is aligned, so places inside it decide the sides.
+        sides, flat, offsets = [], [], [0]
+        for j in range(nodes.num_rows):
+            own = ""
+            for r, level in enumerate(levels):
+                at = j >> r
+                if at % 2:
+                    own += "l"
+                    flat.append(level[at - 1])
+                elif at + 1 < len(level):
+                    own += "r"
+                    flat.append(level[at + 1])
+                else:
+                    own += "-"
+            flat += rest
+            offsets.append(len(flat))
+            sides.append(own + rest_sides)
+        siblings = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string()))
+        columns = [nodes["tree"], nodes["pos"], pa.array([subroot] * len(sides), pa.string()), pa.array(sides, pa.string()), siblings]
+        return pa.Table.from_arrays(columns, names=["tree", "pos", "subroot", "sides", "siblings"])
+
+    return extracted
+
+
 def proofs(made: list[DataFrame], rests: DataFrame, step: int = STEP) -> DataFrame:
     """(tree, pos, subroot, sides, siblings) of every leaf.
 
@@ -105,50 +142,19 @@ def proofs(made: list[DataFrame], rests: DataFrame, step: int = STEP) -> DataFra
     on the right (r), or there is none (-). ``rests`` (tree, subroot, sides,
     siblings) is what follows above the root of each tree.
     """
-    out = None
+    out, levels = None, depth(F.col("size"))
     for i in range(len(made) - 1, -1, -1):
         height = i * step
-
-        def extracted(nodes: pa.Table, above: pa.Table, height: int = height) -> pa.Table:
-            if not nodes.num_rows:
-                return pa.table({"tree": [], "pos": [], "subroot": [], "sides": [], "siblings": []}, schema=schema)
-            nodes = nodes.sort_by("pos")
-            levels = _levels(nodes["digest"].to_pylist(), max(0, _rounds(nodes["size"][0].as_py(), height, step)))[:-1]
-            rest_sides, rest = above["sides"][0].as_py(), above["siblings"][0].as_py()
-            # A subtree is aligned, so places inside it decide the sides.
-            sides, flat, offsets = [], [], [0]
-            for j in range(nodes.num_rows):
-                own = ""
-                for r, level in enumerate(levels):
-                    at = j >> r
-                    if at % 2:
-                        own += "l"
-                        flat.append(level[at - 1])
-                    elif at + 1 < len(level):
-                        own += "r"
-                        flat.append(level[at + 1])
-                    else:
-                        own += "-"
-                flat += rest
-                offsets.append(len(flat))
-                sides.append(own + rest_sides)
-            subroot = pa.array([above["subroot"][0].as_py()] * len(sides), pa.string())
-            siblings = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string()))
-            return pa.Table.from_arrays([nodes["tree"], nodes["pos"], subroot, pa.array(sides, pa.string()), siblings], names=["tree", "pos", "subroot", "sides", "siblings"])
-
-        ends = F.col("size")
-        nodes = made[i].select("tree", "pos", "size", "digest").filter(depth(ends) > height if i else F.lit(True))
-        ending = made[i].filter((F.col("pos") == 0) & (depth(ends) <= height + step) & (depth(ends) > height if i else F.lit(True))).select("tree")
+        # The leaves of a tree of one row are its root.
+        nodes = made[i].select("tree", "pos", "size", "digest").filter((levels > height) | F.lit(i == 0))
+        ending = nodes.filter((F.col("pos") == 0) & (levels <= height + step)).select("tree")
         blocks = rests.join(ending, "tree", "left_semi").select("tree", F.lit(0).cast("long").alias("pos"), "subroot", "sides", "siblings")
         blocks = blocks if out is None else blocks.unionByName(out)
-        found = nodes.groupBy("tree", F.shiftright("pos", step).alias("_block")).cogroup(blocks.groupBy("tree", "pos")).applyInArrow(extracted, _PROOFS)
+        found = nodes.groupBy("tree", F.shiftright("pos", step).alias("_block")).cogroup(blocks.groupBy("tree", "pos")).applyInArrow(_extracted(height, step), _PROOFS)
         out = found if i == 0 else saved(found, "merkle-proofs")
     return out
 
 
-schema = pa.schema([("tree", pa.int64()), ("pos", pa.int64()), ("subroot", pa.string()), ("sides", pa.string()), ("siblings", pa.list_(pa.string()))])
-
-
 def folded(leaf: Column, sides: Column, siblings: Column) -> Column:
     """The root that a proof leads to from ``leaf``."""
 
