@@ -25,6 +25,8 @@ extra columns are left out. A document longer than a frame has one to itself.
 from __future__ import annotations
 
 import bisect
+import contextlib
+import gc
 import os
 import re
 import struct
@@ -67,6 +69,18 @@ _MARK = "\x01"
 _USUAL = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\\[-`{-~]*)")
 
 
+@contextlib.contextmanager
+def uncollected():
+    """Without the collector of cycles: many remembered chunks, which make none, would be walked over again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class WordIds:
     """Ids of whole texts as the tokenizers library gives them for a vocabulary that drops white space.
 
@@ -294,7 +308,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
                     file = f"ids-{part:06d}-{uuid.uuid4().hex}.zst"
                     sink = where.open_output_stream(f"{path}/{file}", compression=None)
                     out, first = FrameWriter(sink, frame), batch.column(1)[0]
-                out.add(batch.column(1), [x + close for x in encode(batch.column(2).to_pylist())])
+                with uncollected():
+                    out.add(batch.column(1), [x + close for x in encode(batch.column(2).to_pylist())])
                 last = batch.column(1)[batch.num_rows - 1]
         if out is not None:
             out.close()
