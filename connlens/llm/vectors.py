@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from connlens.llm.common import quoted, saved
 
-#: Candidates of a segment and queries of a block: a task holds one of each at a time.
-SEGMENT = 8192
-QUERIES = 1024
+#: Candidates of a segment and queries of a block at most: a task holds one of each at a time.
+SEGMENT = 32768
+QUERIES = 8192
+#: Segments are made smaller than that to keep all cores busy, but not below this.
+SMALL_SEGMENT = 2048
 
 
 def valid(df: DataFrame, key: str, vector: str, component: Callable[[Column], Column], zero: bool) -> DataFrame:
@@ -32,30 +34,51 @@ def valid(df: DataFrame, key: str, vector: str, component: Callable[[Column], Co
     return saved(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "v"), "vectors")
 
 
-def stacked(vectors: pd.Series, width: int, kind: type = np.float64) -> np.ndarray:
-    """Vectors as rows; a shorter one counts as filled with zeros."""
-    out = np.zeros((len(vectors), width), kind)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def packed(vectors: pd.Series, width: int, kind: type = np.float64) -> list[bytes]:
+    """Vectors as bytes of one length; a shorter one counts as filled with zeros."""
+    out = []
+    for v in vectors:
+        row = np.zeros(width, kind)
+        row[: len(v)] = v
+        out.append(row.tobytes())
     return out
 
 
-def searched(rows: DataFrame, every: int, n: int, k: int, search: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], score: str, segment: int = SEGMENT, queries: int = QUERIES) -> DataFrame:
+def stacked(rows: pd.Series, width: int, kind: type = np.float64) -> np.ndarray:
+    """Packed vectors as rows of an array."""
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), width)
+
+
+def segment_size(rows: DataFrame, n: int) -> int:
+    """Candidates of a segment when there are ``n``."""
+    return min(SEGMENT, max(SMALL_SEGMENT, math.ceil(n / rows.sparkSession.sparkContext.defaultParallelism)))
+
+
+def searched(rows: DataFrame, every: int, n: int, k: int, segments: int, search: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], score: str, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): ``search(candidates, queries)`` for every segment and query block, then the ``k`` best of each query.
 
-    Each query meets every segment, as a stated query set against all rows, in
-    blocks. A task reads one segment and one block of queries.
+    ``rows`` has (uid, id, seg, v) and, in ``more``, what else a search wants of
+    a candidate. Each query meets every segment, as a stated query set against
+    all rows, in blocks. A task reads one segment and one block of queries; a
+    candidate is sent once for each block, so blocks are as large as memory
+    allows.
     """
-    is_query = F.col("id") % every == 0
-    segments, blocks = max(1, math.ceil(n / segment)), max(1, math.ceil(n / every / queries))
-    side = rows.select("uid", "id", "v", F.pmod(F.xxhash64("uid"), F.lit(segments)).cast("int").alias("seg"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    blocks = max(1, math.ceil(n / every / queries))
+    side = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # Names of their own, so that the two sides of the cogroup share no column.
-    asked = rows.filter(is_query).select(F.col("uid").alias("quid"), F.col("id").alias("query_id"), F.col("v").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("of_seg"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("of_block"))
+    asked = rows.filter(F.col("id") % every == 0).select(
+        F.col("uid").alias("quid"), F.col("id").alias("query_id"), F.col("v").alias("asked"), F.col("more").alias("asked_more"),
+        F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("of_block"), F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("of_seg"))
     found = side.groupBy("seg", "block").cogroup(asked.groupBy("of_seg", "of_block")).applyInPandas(search, f"quid long, query_id long, uid long, vec_id long, score {score}")
     order = W.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def results(found: list[pd.DataFrame], score: type) -> pd.DataFrame:
+    columns = {c: np.empty(0, np.int64) for c in ("quid", "query_id", "uid", "vec_id")} | {"score": np.empty(0, score)}
+    return pd.concat(found) if found else pd.DataFrame(columns)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` highest scores, ties to the smaller id, in order."""
     if len(scores) > k:

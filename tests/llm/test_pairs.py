@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from connlens.llm import jaccard, neighbours, topk
+from connlens.llm import collisions, jaccard, neighbours, topk
 from connlens.llm.components import components
 
 
@@ -111,16 +111,60 @@ def reference(rows, every, k, integer, zero):
     return sorted(out)
 
 
-@pytest.mark.parametrize("segment, pivots", [(8192, 64), (50, 8), (50, 0)])
-def test_exact_search(spark, monkeypatch, segment, pivots):
+@pytest.mark.parametrize("segment, pivots, scouts", [(8192, 64, 4096), (50, 8, 30), (50, 0, 0), (30, 3, 3)])
+def test_exact_search(spark, monkeypatch, segment, pivots, scouts):
     rows, df = vectors(spark)
     real = topk.searched
-    monkeypatch.setattr(topk, "searched", lambda *a: real(*a, segment=segment, queries=7))
+    monkeypatch.setattr(topk, "searched", lambda *a: real(*a, queries=7))
+    monkeypatch.setattr(topk, "segment_size", lambda *a: segment)
     monkeypatch.setattr(topk, "STEP", 16)
-    got = sorted(tuple(r) for r in topk.exact_top(df, 20, 20, pivots=pivots).collect())
+    got = sorted(tuple(r) for r in topk.exact_top(df, 20, 20, pivots=pivots, scouts=scouts).collect())
     assert got == reference(rows, 20, 20, True, True)
 
 
+@pytest.mark.parametrize("largest, kind", [(64, np.float32), (600, np.float32), (5000, np.float64), (10**9, np.int64)])
+def test_exact_search_in_every_type(spark, largest, kind):
+    draw = random.Random(8)
+    rows = [(i, [float(draw.randrange(-largest, largest)) / 64 for _ in range(4)]) for i in range(80)]
+    assert topk._kind(largest, 4) in (kind, np.float32)
+    got = sorted(tuple(r) for r in topk.exact_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect())
+    assert got == reference(rows, 20, 20, True, True)
+
+
+def test_bounds_rule_out_most_pairs_of_separate_clusters():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 16)) * 60
+    x = np.floor(np.vstack([c + rng.normal(size=(500, 16)) * 4 for c in centres])).astype(np.float64)
+    q, ids = x[::100], np.arange(len(x))
+    bounds = topk.Bounds(x[rng.permutation(len(x))[:32]], float((x * x).sum(axis=1).max()))
+    floors = np.full(len(q), -np.inf)
+    places, scores, evaluated = topk.searched_segment(x, bounds.distances(x, True).T.copy(), ids, ids, q, ids[::100], floors, 20, bounds)
+    assert evaluated < 0.5 * len(q) * len(x)
+    for i, one in enumerate(q):
+        every = x @ one
+        every[i * 100] = -np.inf
+        assert sorted(scores[i].tolist(), reverse=True) == sorted(every.tolist(), reverse=True)[:20] and (every[places[i]] == scores[i]).all()
+
+
+def test_window_counts_equal_plain_counts():
+    rng = np.random.default_rng(2)
+    for n, arrays_, least in ((200, 9, 5), (64, 70, 40), (1, 3, 3), (1000, 17, 12)):
+        projected, centres = rng.normal(size=(n, arrays_)), rng.normal(size=(6, arrays_))
+        rank = collisions.ranks(projected)
+        arrays = collisions.Arrays(projected, rank, boundaries=16)
+        ends, counts, old = (np.arange(min(16, n) + 1) * n) // min(16, n), arrays.counters(6), None
+        for half in (0.3, 0.5, 1.1):
+            low, high = arrays.windows(centres, np.full(6, half))
+            arrays.add(counts, low, high, old)
+            old = low, high
+            plain = np.stack([((rank >= ends[low[:, i]]) & (rank < ends[high[:, i]])).sum(axis=1) for i in range(6)])
+            inside = np.stack([(np.abs(projected - c) <= half).sum(axis=1) for c in centres])
+            assert (plain >= inside).all()
+            over = arrays.reached(counts, least)
+            assert all(arrays.members(over[i]).tolist() == np.flatnonzero(plain[i] >= least).tolist() for i in range(6))
+        assert all(len(c) >= min(n, 10) for c in collisions.candidates(arrays, centres, least, min(n, 10), 0.1, 1.2))
+
+
 def test_search_of_few_and_none(spark):
     _, df = vectors(spark)
     few = df.filter("vec_id in (0, 1, 2)")
