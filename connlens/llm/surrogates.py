@@ -10,6 +10,10 @@ of values. Then all entities are checked against each other and against all
 originals: of those that share a surrogate one keeps it, the rest, and whatever
 equals an original, are drawn again until none is left.
 
+A type is the place of a word in a name, its gender where it has one, and its
+script; words of names share one space whatever their type, so no two of them
+get the same value, and a family name has one value for all its bearers.
+
 Only entities drawn again need a look-up when texts are rewritten; all other
 surrogates follow from the mention itself.
 
@@ -24,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from connlens.llm.common import fresh, quoted, saved, table, with_value
+from connlens.operators.spread import spread_join
 
 KEY = "connlens"
-SALTS = 16
-#: Attempts after which something is wrong with the key: by then every value has grown by many letters or digits.
-ATTEMPTS = 40
+#: Entities looked up when texts are rewritten, and their bytes, up to which they are broadcast.
+FEW, FEW_BYTES = 100_000, 8 << 20
 #: Attempts after which a value grows, by one more letter, digit or syllable each. Kinds of a fixed length have far more
 #: values and keep their format for longer.
 GROWS, FIXED_GROWS = 3, 12
@@ -39,10 +43,11 @@ ADDRESS = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d])(?!\.\d)"
 PHONE = r"\+\d{1,3}\x20?\(\d{2,4}\)\x20?\d{3,4}[-.\x20]?\d{3,4}(?!\d)|\+\d{1,3}(?:[-.\x20]\d{2,4}){2,4}(?!\d)|\+\d{8,14}(?!\d)|\(\d{3}\)\x20?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?!\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[\x20-]\d{4}){3})(?!\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-#: Titles that tell the gender.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа")
-_TITLE = "|".join((*FEMALE, *MALE))
+#: Titles that tell the gender, and titles of any gender.
+MALE = ("Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Dame", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Госпожа")
+ANYONE = ("Mx", "Dr", "Prof", "Professor", "Доктор")
+_TITLE = "|".join(sorted((*FEMALE, *MALE, *ANYONE), key=len, reverse=True))
 #: A capital or a letter of a script without capitals, then letters; parts after an apostrophe belong to the word.
 _WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+(?:['’][\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+)*+"
 #: One unit of a name: an initial or a word. Units are joined by a space or a hyphen, or stand side by side as initials do.
@@ -97,6 +102,11 @@ def _spelled(w: Column, value: Column) -> Column:
     return F.when(w == _plain(w), value).otherwise(F.upper(value))
 
 
+def _last_units(m: Column) -> Column:
+    """Number of units of the last word of a name."""
+    return F.size(F.regexp_extract_all(F.regexp_extract(m, r"[^\x20]+$", 0), F.lit(UNIT), F.lit(0)))
+
+
 def _units(m: Column, kind: Column) -> Column:
     """array<struct(type, norm)> of a mention: one entity, or one for each word of a name."""
     digits = F.regexp_replace(m, r"[^0-9]", "")
@@ -104,30 +114,25 @@ def _units(m: Column, kind: Column) -> Column:
     country = F.regexp_extract(m, r"^\+(\d{1,3})(?!\d)", 1)
     phone = F.when(country != "", F.concat(country, F.lit("+"), F.substr(digits, F.length(country) + 1))).otherwise(digits)
     norm = F.when(kind == "email", F.lower(m)).when(kind == "address", m).when(kind == "phone", phone).otherwise(digits)
-    gender = F.when(m.rlike(f"^(?:{'|'.join(FEMALE)})\\b"), "f").otherwise("m")
+    gender = F.when(m.rlike(f"^(?:{'|'.join(FEMALE)})\\b"), "f").when(m.rlike(f"^(?:{'|'.join(MALE)})\\b"), "m").otherwise("n")
+
     # Units of the last word are of the family; particles belong to no unit.
     def typed(x: Column) -> Column:
-        last = F.size(F.regexp_extract_all(F.regexp_extract(m, r"[^\x20]+$", 0), F.lit(UNIT), F.lit(0)))
-
         def unit(w: Column, i: Column) -> Column:
             script = F.lit("latin")
             for name in SYLLABLES:
                 script = F.when(w.rlike(rf"\p{{Is{name.capitalize()}}}"), name).otherwise(script) if name != "latin" else script
-            part = F.when(w.endswith("."), "initial").when(i >= F.size(x) - last, "family").otherwise("given")
-            return F.struct(F.concat_ws("-", part, gender, script).alias("type"), _plain(w).alias("norm"))
-
-        return F.transform(x, unit)
-
-    named = with_value(_name_units(m)["w"], typed)
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("type"), norm.alias("norm"))))
+            part = F.when(w.endswith("."), "initial").when(i >= x["first"], "family").otherwise(F.concat(F.lit("given-"), x["gender"]))
+            return F.struct(F.concat_ws("-", part, script).alias("type"), _plain(w).alias("norm"))
 
+        return F.transform(x["w"], unit)
 
-def _pick(values: list[str], number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+    units = with_value(_name_units(m)["w"], lambda w: F.struct(w.alias("w"), (F.size(w) - _last_units(m)).alias("first"), gender.alias("gender")))
+    return F.when(kind == "name", with_value(units, typed)).otherwise(F.array(F.struct(kind.alias("type"), norm.alias("norm"))))
 
 
-def _numbers(seed: Column, n: int) -> list[Column]:
-    return [F.conv(F.substring(seed, 1 + 8 * i, 7), 16, 10).cast("long") for i in range(n)]
+def _lists(lists: dict[str, list[str]]) -> Column:
+    return F.create_map(*[x for name, values in lists.items() for x in (F.lit(name), F.array(*[F.lit(v) for v in values]))])
 
 
 def _check_digit(body: Column) -> Column:
@@ -137,107 +142,142 @@ def _check_digit(body: Column) -> Column:
     return F.pmod(-F.aggregate(doubled, F.lit(0), lambda a, d: a + d), F.lit(10))
 
 
-def _grown(attempt: Column, kind: Column, one) -> Column:
-    """Texts ``one(j)`` for as many j as the attempt adds, one after the other."""
-    n = F.when(kind.isin("card", "social", "address"), F.floor((attempt - 1) / FIXED_GROWS)).otherwise(F.floor((attempt - 1) / GROWS)).cast("int")
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")).otherwise("")
+def _space(kind: Column) -> Column:
+    """Entities of one space never share a value."""
+    return F.when(kind.rlike("^(?:given|family|initial)-"), "name").otherwise(kind)
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
     """Normal form of the surrogate of an entity at an attempt."""
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
-
-    def drawn(s: Column) -> Column:
+    slow = kind.isin("card", "social", "address")
+    part = F.substring_index(kind, "-", 1)
+    of_name = part.isin("given", "family", "initial")
+    given = F.coalesce(F.try_element_at(_lists({f"given-{g}-{script}": v for (g, script), v in GIVEN.items()}), kind), F.array().cast("array<string>"))
+    facts = F.struct(
+        F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512).alias("seed"),
+        F.floor((attempt - 1) / F.when(slow, FIXED_GROWS).otherwise(GROWS)).cast("int").alias("grown"),
+        F.when(kind == "phone", F.instr(norm, "+")).otherwise(0).alias("stays"),
+        F.when(kind == "email", F.length(norm) - F.instr(F.reverse(norm), ".")).otherwise(F.length(norm)).alias("until"),
+        F.when(of_name, F.element_at(_lists(SYLLABLES), F.substring_index(kind, "-", -1))).alias("pool"),
+        F.when(of_name, given).alias("given"),
+    )
+
+    def drawn(x: Column) -> Column:
         def number(i: Column) -> Column:
-            return F.conv(F.substr(s, F.pmod(i * 5, F.lit(124)) + 1, F.lit(5)), 16, 10).cast("long") + i
+            return F.conv(F.substr(x["seed"], F.pmod(i * 5, F.lit(124)) + 1, F.lit(5)), 16, 10).cast("long") + i
 
-        stays = F.instr(norm, "+")
-        last_dot = F.length(norm) - F.instr(F.reverse(norm), ".")
-        chars = F.filter(F.split(norm, ""), lambda c: c != "")
+        def pick(values: Column, i: Column) -> Column:
+            return F.get(values, F.pmod(number(i), F.size(values)).cast("int"))
+
+        def several(n: Column, one) -> Column:
+            return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")).otherwise("")
+
+        def digit(i: Column) -> Column:
+            return F.pmod(number(i), F.lit(10)).cast("string")
+
+        def letter(i: Column) -> Column:
+            return F.substr(F.lit(LETTERS), F.pmod(number(i), F.lit(26)).cast("int") + 1, F.lit(1))
+
+        def octet(i: Column) -> Column:
+            return (F.pmod(number(i), F.lit(254)) + 1).cast("string")
+
+        def grown(one) -> Column:
+            return several(x["grown"], lambda j: one(j * 7 + 3))
+
+        # A word of a name: a name of the list or a first letter, then syllables; without either four syllables more.
+        listed = F.size(x["given"]) > 0
+        head = F.when(listed, pick(x["given"], F.lit(0))).when(part == "initial", F.substr(pick(x["pool"], F.lit(0)), F.lit(1), F.lit(1))).otherwise("")
+        least = F.when(~listed & (part != "initial"), 4).when(attempt > 0, 1).otherwise(0)
+        word = F.initcap(F.concat(head, several(least + F.greatest(x["grown"], F.lit(0)), lambda j: pick(x["pool"], j))))
 
         def one(c: Column, i: Column) -> Column:
-            kept = ((kind == "phone") & (i < stays)) | ((kind == "email") & (i >= last_dot))
-            digit = F.pmod(number(i), F.lit(10)).cast("string")
-            letter = F.substr(F.lit(LETTERS), F.pmod(number(i), F.lit(26)).cast("int") + 1, F.lit(1))
-            return F.when(kept, c).when(c.rlike("^[0-9]$"), digit).when(c.rlike("^[a-z]$"), letter).otherwise(c)
-
-        def letter_of(j: Column) -> Column:
-            return F.substr(F.lit(LETTERS), F.pmod(number(j * 7 + 3), F.lit(26)).cast("int") + 1, F.lit(1))
-
-        more = F.when(kind.isin("phone", "card", "social"), _grown(attempt, kind, lambda j: F.pmod(number(j * 7 + 3), F.lit(10)).cast("string"))).otherwise("")
-        before = F.when(kind == "email", _grown(attempt, kind, letter_of)).otherwise("")
-        spelled = F.concat(before, F.array_join(F.transform(chars, one), ""), more)
-        body = F.substr(spelled, F.lit(1), F.length(spelled) - 1)
-        right = F.substr(norm, F.length(norm), F.lit(1)).cast("int") == _check_digit(F.substr(norm, F.lit(1), F.length(norm) - 1))
-        card = F.when(right, F.concat(body, _check_digit(body).cast("string"))).otherwise(spelled)
-        octets = F.array_join(F.transform(F.split(norm, r"\."), lambda _, i: (F.pmod(number(i), F.lit(254)) + 1).cast("string")), ".")
-        octets = F.concat(octets, _grown(attempt, kind, lambda j: F.concat(F.lit("."), (F.pmod(number(j * 7 + 3), F.lit(254)) + 1).cast("string"))))
-        five = _numbers(s, 6)
-
-        def word(script: str) -> Column:
-            return F.initcap(F.concat(*[_pick(SYLLABLES[script], x) for x in five[:4]], grown(script)))
-
-        def grown(script: str) -> Column:
-            return _grown(attempt, kind, lambda j: _pick(SYLLABLES[script], number(j * 7 + 3)))
-
-        out = F.when(kind == "card", card).when(kind == "address", octets)
-        for script in SYLLABLES:
-            plain = kind.startswith("family") if any(s == script for _, s in GIVEN) else kind.startswith("family") | kind.startswith("given")
-            out = out.when(plain & kind.endswith(script), word(script))
-            initial = F.concat(F.initcap(F.concat(F.substr(_pick(SYLLABLES[script], five[0]), F.lit(1), F.lit(1)), F.when(attempt > 0, _pick(SYLLABLES[script], five[1])).otherwise(""), grown(script))), F.lit("."))
-            out = out.when(kind.startswith("initial") & kind.endswith(script), initial)
-            for gender in [g for g, s in GIVEN if s == script]:
-                # Once the short list is taken, a given name grows by a syllable.
-                more = F.when(attempt > 0, _pick(SYLLABLES[script], five[4])).otherwise("")
-                out = out.when(kind == f"given-{gender}-{script}", F.concat(_pick(GIVEN[gender, script], five[0]), more, grown(script)))
-        return out.otherwise(spelled)
-
-    return with_value(seed, drawn)
+            kept = (i < x["stays"]) | (i >= x["until"])
+            return F.when(kept, c).when(c.rlike("^[0-9]$"), digit(i)).when(c.rlike("^[a-z]$"), letter(i)).otherwise(c)
+
+        chars = F.filter(F.split(norm, ""), lambda c: c != "")
+        spelled = F.concat(F.when(kind == "email", grown(letter)).otherwise(""), F.array_join(F.transform(chars, one), ""), F.when(kind == "email", "").otherwise(grown(digit)))
+
+        def card(value: Column) -> Column:
+            body = F.substr(value, F.lit(1), F.length(value) - 1)
+            right = F.substr(norm, F.length(norm), F.lit(1)).cast("int") == _check_digit(F.substr(norm, F.lit(1), F.length(norm) - 1))
+            return F.when(right, F.concat(body, _check_digit(body).cast("string"))).otherwise(value)
+
+        octets = F.concat(F.array_join(F.transform(F.split(norm, r"\."), lambda _, i: octet(i)), "."), grown(lambda j: F.concat(F.lit("."), octet(j))))
+        named = F.when(part == "initial", F.concat(word, F.lit("."))).otherwise(word)
+        return F.when(of_name, named).when(kind == "card", with_value(spelled, card)).when(kind == "address", octets).otherwise(spelled)
+
+    return with_value(facts, drawn)
 
 
 def _shown(m: Column, kind: Column, values: Column) -> Column:
     """A mention rewritten: its own marks and capitals, the surrogate's letters and digits."""
-    value = F.replace(F.element_at(values, 1), F.lit("+"), F.lit(""))
-    chars = F.filter(F.split(m, ""), lambda c: c != "")
-    place = F.transform(chars, lambda c, i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", "")))
-    # What a value has grown by follows the last digit of a number, and stands before an address.
-    last = F.length(F.regexp_replace(m, "[^0-9]", ""))
-    taken = F.transform(place, lambda n: F.substr(value, n, F.when(n == last, F.length(value)).otherwise(1)))
-    digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.get(taken, i)).otherwise(c)), "")
-    ahead = F.length(value) - F.length(m)
-    letters = F.transform(chars, lambda c, i: with_value(F.substr(value, ahead + i + 1, F.lit(1)), lambda v: F.when(c.rlike("^[A-Z]$"), F.upper(v)).otherwise(v)))
-    mail = F.concat(F.substr(value, F.lit(1), ahead), F.array_join(letters, ""))
+    value = F.element_at(values, 1)
+
+    def characters(text: Column) -> Column:
+        return F.filter(F.split(text, ""), lambda c: c != "")
+
+    def numbered(x: Column) -> Column:
+        # A text between two digits follows the digit before it; what a value has grown by follows the last digit.
+        digits = F.transform(x["gaps"], lambda g, i: F.concat(F.when(i == 0, "").when(i < F.size(x["gaps"]) - 1, F.get(x["value"], i - 1)).otherwise(F.array_join(F.slice(x["value"], i, F.greatest(F.size(x["value"]), F.lit(1))), "")), g))
+        return F.array_join(digits, "")
+
+    def lettered(x: Column) -> Column:
+        # What a value has grown by stands before an address.
+        ahead = F.size(x["value"]) - F.size(x["own"])
+        letters = F.transform(x["own"], lambda c, i: with_value(F.get(x["value"], ahead + i), lambda v: F.when(c.rlike("^[A-Z]$"), F.upper(v)).otherwise(v)))
+        return F.concat(F.array_join(F.slice(x["value"], 1, F.greatest(ahead, F.lit(0))), ""), F.array_join(letters, ""))
+
+    number = with_value(F.struct(F.split(m, "[0-9]", -1).alias("gaps"), characters(F.replace(value, F.lit("+"), F.lit(""))).alias("value")), numbered)
+    mail = with_value(F.struct(characters(m).alias("own"), characters(value).alias("value")), lettered)
     name = with_value(_name_units(m), lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(_spelled(F.get(x["w"], i), F.get(values, i)), F.lit("")))), ""))
-    return F.when(kind == "email", mail).when(kind == "address", value).when(kind == "name", name).otherwise(digits)
+    return F.when(kind == "email", mail).when(kind == "address", value).when(kind == "name", name).otherwise(number)
 
 
 def _label(unit: Column) -> Column:
     return F.concat_ws("|", unit["type"], unit["norm"])
 
 
+def units_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, type, norm): the entities of each text, named by its hash, each once."""
+    found = docs.select(quoted(text).alias("t")).filter(F.col("t").rlike(ANY)).select(F.xxhash64("t").alias("h"), F.explode(F.regexp_extract_all("t", F.lit(ANY), F.lit(0))).alias("m"))
+    units = found.select("h", F.explode(_units(F.col("m"), _kind(F.col("m")))).alias("u"))
+    return units.select("h", "u.type", "u.norm").distinct()
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """(type, norm), each once."""
-    found = docs.select(quoted(text).alias("t")).filter(F.col("t").rlike(ANY)).select(F.explode(F.regexp_extract_all("t", F.lit(ANY), F.lit(0))).alias("m"))
-    units = found.select(F.explode(_units(F.col("m"), _kind(F.col("m")))).alias("u"))
-    return units.select("u.type", "u.norm").distinct()
+    return units_of(docs, text).select("type", "norm").distinct()
 
 
 def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(type, norm, attempt, value, since): distinct values within a type, none of them an original of it."""
-    since = F.lit(0)
-    out = saved(found.select("type", "norm", F.lit(0).alias("attempt"), surrogate(F.col("type"), F.col("norm"), F.lit(0), key).alias("value"), since.alias("since")), "surrogates")
-    for round_ in range(1, ATTEMPTS):
-        claims = out.select("type", "value", F.struct("since", "norm").alias("c")).unionByName(out.select("type", F.col("norm").alias("value"), F.struct(F.lit(-1).alias("since"), F.lit("").alias("norm")).alias("c")))
-        owner = claims.groupBy("type", "value").agg(F.min("c").alias("owner"))
-        judged = saved(out.join(owner, ["type", "value"]).withColumn("lost", (F.col("owner.since") != F.col("since")) | (F.col("owner.norm") != F.col("norm"))).drop("owner"), "claims")
-        if not judged.filter("lost").limit(1).count():
-            return judged.drop("lost")
-        attempt = F.col("attempt") + F.col("lost").cast("int")
-        out = saved(judged.select(
-            "type", "norm", attempt.alias("attempt"), F.when(F.col("lost"), surrogate(F.col("type"), F.col("norm"), attempt, key)).otherwise(F.col("value")).alias("value"),
-            F.when(F.col("lost"), round_).otherwise(F.col("since")).alias("since"),
-        ), "surrogates")
-    raise RuntimeError("some surrogates stay equal: the key gives too few values")
+    """(type, norm, attempt, value): distinct values within a space, none of them an original of it.
+
+    A round draws values for those entities alone that lost the one before. Of
+    those that draw a value at once, and none has it yet, the first keeps it.
+    Values grow with the attempts, so the rounds end.
+    """
+    found = saved(found.select(_space(F.col("type")).alias("space"), "type", "norm"), "entities")
+    taken = found.select("space", F.col("norm").alias("value"))
+    losers, kept, attempt = found, [], 0
+    while attempt == 0 or losers.limit(1).count():
+        drawn = saved(losers.withColumn("value", surrogate(F.col("type"), F.col("norm"), F.lit(attempt), key)), "drawn")
+        free = drawn.join(taken, ["space", "value"], "left_anti")
+        first = free.groupBy("space", "value").agg(F.min(F.struct("type", "norm")).alias("owner"))
+        won = saved(first.select("space", "owner.type", "owner.norm", F.lit(attempt).alias("attempt"), "value"), "surrogates")
+        losers = saved(drawn.drop("value").join(won.select("type", "norm"), ["type", "norm"], "left_anti"), "losers")
+        taken = taken.unionByName(won.select("space", "value"))
+        kept.append(won.drop("space"))
+        attempt += 1
+    out = kept[0]
+    for won in kept[1:]:
+        out = out.unionByName(won)
+    return out
+
+
+def _few(df: DataFrame, size: Column) -> bool:
+    """Whether a frame is small enough in rows and bytes to be broadcast."""
+    facts = df.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return facts["n"] <= FEW and (facts["bytes"] or 0) <= FEW_BYTES
 
 
 def _dealt(names: Column) -> Column:
@@ -259,16 +299,17 @@ def _untitled(gap: Column, known: Column) -> Column:
 
 def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and a column array<struct(kind, start, value)> of the mentions."""
-    again = assigned(entities(docs, text), key).filter("attempt > 0").select("type", "norm", "attempt")
-    tries = fresh(docs, "_tries")
+    units = saved(units_of(docs, text), "units")
+    again = saved(assigned(units.select("type", "norm").distinct(), key).filter("attempt > 0").select(_label(F.struct("type", "norm")).alias("label"), "attempt"), "again")
+    tries, h = fresh(docs, "_tries"), fresh(docs, "_h")
     if again.limit(1).count():
-        h = fresh(docs, "_h")
+        labelled = units.select("h", _label(F.struct("type", "norm")).alias("label"))
+        met = labelled.join(F.broadcast(again), "label") if _few(again, F.length("label")) else spread_join(labelled, again, "label", "inner")
+        side = saved(met.groupBy(F.col("h").alias(h)).agg(F.map_from_entries(F.collect_list(F.struct("label", "attempt"))).alias(tries)), "tries")
         rows = docs.withColumn(h, F.xxhash64(quoted(text)))
-        few = rows.filter(quoted(text).rlike(ANY)).select(F.col(h).alias("h"), F.explode(F.regexp_extract_all(quoted(text), F.lit(ANY), F.lit(0))).alias("m"))
-        units = few.select("h", F.explode(_units(F.col("m"), _kind(F.col("m")))).alias("u")).select("h", "u.type", "u.norm").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
-        spread = again.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        side = units.join(spread, ["type", "norm", "salt"]).groupBy(F.col("h").alias("_h_of_unit")).agg(F.map_from_entries(F.collect_list(F.struct(_label(F.struct("type", "norm")), "attempt"))).alias(tries))
-        rows = rows.join(side, rows[h] == side["_h_of_unit"], "left").drop("_h_of_unit", h)
+        small = _few(side, F.length(F.array_join(F.map_keys(quoted(tries)), "")))
+        # A text may have many copies: beyond a broadcast their rows are dealt to many tasks.
+        rows = (rows.join(F.broadcast(side), h, "left") if small else spread_join(rows, side, h, "left")).drop(h)
     else:
         rows = docs.withColumn(tries, F.lit(None).cast("map<string,int>"))
     value = quoted(text)
@@ -277,8 +318,7 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     def mention(m: Column) -> Column:
         kind = _kind(m)
         units = _units(m, kind)
-        number = F.coalesce
-        values = F.transform(units, lambda u: surrogate(u["type"], u["norm"], number(F.try_element_at(quoted(tries), _label(u)), F.lit(0)), key))
+        values = F.transform(units, lambda u: surrogate(u["type"], u["norm"], F.coalesce(F.try_element_at(quoted(tries), _label(u)), F.lit(0)), key))
         names = F.when(kind == "name", F.transform(units, lambda u, i: F.concat(u["norm"], F.lit("|"), F.get(values, i)))).otherwise(F.array().cast("array<string>"))
         return F.struct(kind.alias("kind"), m.alias("m"), _shown(m, kind, values).alias("value"), names.alias("names"))
 
