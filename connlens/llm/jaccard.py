@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from connlens.llm.common import fresh, mixed, quoted, saved, table, text_batches, tokens
 from connlens.llm.components import components
+from connlens.operators.spread import spread_join
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -44,6 +45,10 @@ STRETCH = 32
 TOLERANCE = 1e-6
 #: Nodes of a block: a piece of work reads two blocks.
 BLOCK = 192
+#: Keys of rows up to which they are broadcast (a digest and an id each), so that texts need not move.
+FEW_KEYS = 200_000
+#: Share of all rows from which the copies of one text are dealt to several tasks.
+MANY_COPIES = 0.005
 #: Rows put into one call of the worker function, some pieces of work together.
 BUNDLE = 1000
 
@@ -212,7 +217,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sized = groups.groupBy("root").agg(F.count("*").alias("m")).select("root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     members = groups.join(sized, "root").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # The smallest id takes part in the join, so that many copies of one text do not meet in one task.
-    texts = rows.select(F.col("node").alias("n2"), F.col("doc").alias("d2"), "text")
+    texts = _kept(rows.select(F.col("node").alias("n2"), F.col("doc").alias("d2"), "text"), members.select(F.col("node").alias("n3"), F.col("doc").alias("d3")), ("n2", "d2"), ("n3", "d3"))
     full = members.join(texts, (F.col("node") == F.col("n2")) & F.col("doc").eqNullSafe(F.col("d2"))).groupBy("node", "root", "block", "blocks", "copies", "sig").agg(F.first("text").alias("text"))
     work = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "root", "block", "copies", "sig", "text", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
     total = sized.agg(F.sum(F.col("blocks") * F.col("blocks")).alias("n")).first()["n"] or 0
@@ -226,21 +231,46 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     known = nodes.select("node", "doc", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     leader = known.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("absent"), "doc", "node")).alias("leader"))
     of_node = known.join(leader, "root").select("node", "leader", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc", "node").join(of_node, "node", "left")
+    facts = nodes.agg(F.sum("copies").alias("n")).first()
+    hot = nodes.filter(F.col("copies") >= max(2, MANY_COPIES * (facts["n"] or 0))).select("node").collect()
+    out = spread_join(rows.select("doc", "node"), of_node, "node", "left", hot=[bytes(r["node"]) for r in hot])
     has = F.col("n_links").isNotNull()
     leads = ~has | ((F.col("node") == F.col("leader.node")) & F.col("doc").eqNullSafe(F.col("leader.doc")))
     return out.select("doc", F.when(has, F.col("leader.doc")).otherwise(F.col("doc")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "node", leads.alias("leads"))
 
 
+def _few(keys: DataFrame) -> bool:
+    return keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+
+def _kept(rows: DataFrame, keys: DataFrame, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """The rows whose (digest, id) is among the keys when those are few enough to be sent to the rows, else all rows."""
+    if not _few(keys):
+        return rows
+    return rows.join(F.broadcast(keys), (F.col(own[0]) == F.col(other[0])) & F.col(own[1]).eqNullSafe(F.col(other[1])), "left_semi")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class that has links, all columns as they are; every other row stays."""
-    found = similar(docs, key, text, **options).filter("n_links > 0")
-    judged = saved(found.select(F.col("doc").alias("_doc"), F.col("node").alias("_node"), F.col("leads").alias("_leads")).distinct(), "judged")
+    """``docs`` with one row of each class that has links, all columns as they are; every other row stays.
+
+    Only the keys of the rows that go are joined, so the rows that stay are not
+    moved while those are few. A class of rows alike in key and text keeps one
+    of them; a null text, or one without a word, stays, as does every row of an
+    empty or clean table.
+    """
+    found = saved(similar(docs, key, text, **options).filter("n_links > 0").groupBy(F.col("node").alias("_node"), F.col("doc").alias("_doc")).agg(F.max("leads").alias("_leads"), F.count("*").alias("_n")), "judged")
     digest = fresh(docs, "_digest")
     rows = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(quoted(text), F.lit("")))))
-    same = (rows[digest] == judged["_node"]) & quoted(key).eqNullSafe(judged["_doc"])
-    first = rows.join(judged.filter("_leads"), same, "left_semi").dropDuplicates([digest, key])
-    return rows.join(judged, same, "left_anti").unionByName(first).drop(digest)
+
+    def joined(keys: DataFrame, how: str) -> DataFrame:
+        same = (rows[digest] == keys["_node"]) & quoted(key).eqNullSafe(keys["_doc"])
+        return rows.join(F.broadcast(keys) if _few(keys) else keys, same, how)
+
+    stay = joined(found.filter("not _leads or _n > 1").select("_node", "_doc"), "left_anti")
+    repeated = found.filter("_leads and _n > 1").select("_node", "_doc")
+    if repeated.limit(1).count():
+        stay = stay.unionByName(joined(repeated, "left_semi").dropDuplicates([digest, key]))
+    return stay.drop(digest)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
