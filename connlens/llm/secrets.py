@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from connlens.llm.common import fresh, quoted, table, with_value
+from connlens.llm.common import fresh, quoted, saved, table, with_value
 from connlens.llm.trigrams import ANY, trigram_query
 
 
@@ -49,6 +49,8 @@ MORE = (
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
+#: Candidates up to which they are broadcast: a hash, an id and the names of some rules each.
+FEW = 200_000
 #: Matches whose starts are summed one after the other before a step over whole groups of them.
 GROUP = 256
 
@@ -74,7 +76,12 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     found = postings(rows, sorted({c[2] for c in clauses}))
     # The clauses are as many as the rules' trigrams, whatever the input.
     met = found.join(F.broadcast(asked), "trigram").groupBy("doc", "h", "kind", "clause", "size").agg(F.count_distinct("trigram").alias("n"))
-    return met.filter("n = size").groupBy("doc", "h").agg(F.collect_set("kind").alias("kinds"))
+    return saved(met.filter("n = size").groupBy("doc", "h").agg(F.collect_set("kind").alias("kinds")), "candidates")
+
+
+def sent(found: DataFrame) -> DataFrame:
+    """Candidates for a join with their texts: while they are few they are sent to the texts, which then don't move."""
+    return F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -116,7 +123,7 @@ def verified(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         joined = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
     else:
         # No null key on either side, so the join needs no null-safe comparison.
-        side = found.select(F.col("h").alias("h2"), F.col("doc").alias("doc2"), "kinds")
+        side = sent(found.select(F.col("h").alias("h2"), F.col("doc").alias("doc2"), "kinds"))
         joined = rows.join(side, (F.col("h") == F.col("h2")) & F.col("doc").eqNullSafe(F.col("doc2")), "left").drop("h2", "doc2")
     none = F.array().cast("array<struct<start:bigint,no:int,stop:bigint,kind:string>>")
 
@@ -156,7 +163,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
     else:
         while side.lower() in {c.lower() for c in plain.columns}:
             side += "_"
-        other = found.groupBy(F.col("h").alias(side)).agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias(kinds))
+        other = sent(saved(found.groupBy(F.col("h").alias(side)).agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias(kinds)), "candidates"))
         joined = plain.join(other, plain[h] == other[side], "left").drop(side)
     for rule in sorted(rules, key=lambda r: r.kind != "private"):
         value = quoted(text)
