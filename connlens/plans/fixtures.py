@@ -182,8 +182,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connections as tab-separated log lines of the 22-column layout, nulls as ``-``."""
+def log_lines(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Connections (all by default) as tab-separated log lines of the 22-column layout, nulls as ``-``."""
     from connlens.schemas import LOG_COLUMNS
 
     source = {
@@ -194,5 +194,5 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "history": F.col("history"), "orig_pkts": F.col("orig_pkts"), "resp_pkts": F.col("resp_pkts"),
     }
     cells = [F.coalesce(source[c].cast("string"), F.lit("-")) if c in source else F.lit("-") for c in LOG_COLUMNS]
-    return conn(spark, sf_dir).select("scan_id", "line_no", F.concat_ws("\t", *cells).alias("value"))
+    return (conn(spark, sf_dir) if rows is None else rows).select("scan_id", "line_no", F.concat_ws("\t", *cells).alias("value"))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from connlens.functions.scalars import is_ipv6, iso_time, scan_id_of
-from connlens.operators import labels
+from connlens.operators import joins, labels
 from connlens.plans import fixtures as fx
 from connlens.plans.label_queries import NOW, STORE_FIELDS, labelled_log
 from connlens.plans.registry import ORACLES, query
 from connlens.schemas import LOG_COLUMNS
 from connlens.session import scratch_path
-from connlens.sources import captures, conn_log, labelled, results, tables
+from connlens.sources import captures, conn_log, labelled, log_source, results, tables
 
 
 def written_log(spark, sf_dir):
@@ -47,6 +47,50 @@ SELECT uid, ts, proto, service, CASE WHEN line_no % 2 = 0 THEN duration END AS d
 """)
 def log_headers(spark, sf_dir):
     """Files of two layouts under their own headers; the second has fewer columns in another order."""
+    path = mixed_layouts(spark, sf_dir)
+    return conn_log.read_conn_log(spark, path + "/*/*").select("uid", "ts", "proto", "service", "duration", "orig_bytes", "resp_bytes")
+
+
+def repeated_log(spark, sf_dir):
+    """Files in which some uids come twice: the second line later in the same file, or in a file of a later folder."""
+    path = scratch_path(spark, "log")
+    both = fx.log_lines(spark, sf_dir, fx.conn_dup(spark, sf_dir))
+    later = (F.col("line_no") >= 100_000_000) & (F.col("line_no") % 20 == 0)
+    headed_log(both.filter(~later), LOG_COLUMNS, f"{path}/log=1")
+    headed_log(both.filter(later), LOG_COLUMNS, f"{path}/log=2")
+    return path
+
+
+@query("""
+SELECT p.*, coalesce(c.proto, 'not_found') AS proto, coalesce(c.service, 'undetected') AS service, coalesce(concat('', c.dest_port), '-') AS dest_port
+FROM pred p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY line_no DESC) AS rn FROM conn_dup) c ON c.uid = p.uid AND c.rn = 1
+""")
+def enrich_last_of_files(spark, sf_dir):
+    """The last line of each uid, the order of the lines known from the files alone."""
+    return joins.enrich_last(fx.pred(spark, sf_dir), conn_log.read_conn_log(spark, repeated_log(spark, sf_dir) + "/*/*", numbered=True))
+
+
+@query("""
+SELECT p.scan_id, p.uid, p.score, p.prediction, coalesce(c.ts, p.timestamp) AS timestamp, c.source_ip, c.source_port, c.dest_ip, c.dest_port, c.proto,
+  c.service, c.duration, c.orig_bytes, c.resp_bytes, c.orig_pkts, c.resp_pkts, c.history
+FROM pred p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY line_no) AS rn FROM conn_dup) c ON c.uid = p.uid AND c.rn = 1
+""")
+def enrich_first_of_files(spark, sf_dir):
+    """The first line of each uid, from the data source: one pass over the files, small splits."""
+    return joins.enrich_first(fx.pred(spark, sf_dir), log_source.scan_log(spark, repeated_log(spark, sf_dir), split_bytes=1 << 20))
+
+
+@query("SELECT count(*) AS n, min(line_no) AS first, max(line_no) AS last, count(DISTINCT line_no) AS different FROM (SELECT row_number() OVER (ORDER BY line_no) AS line_no FROM conn_dup) d")
+def line_numbers(spark, sf_dir):
+    """Numbers of the data lines run on over all files: header lines have numbers of their own, one a file."""
+    numbered = conn_log.read_conn_log(spark, repeated_log(spark, sf_dir) + "/*/*", numbered=True, with_file=True)
+    files = numbered.groupBy("file").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("n"), F.count_distinct("line_no").alias("different"))
+    # A file's lines are consecutive: what is missing before its first line are the headers of the files up to it.
+    whole = files.filter("last - first + 1 = n")
+    return whole.agg(F.sum("n").alias("n"), (F.min("first") - 1).alias("first"), (F.max("last") - F.count("*")).alias("last"), F.sum("different").alias("different"))
+
+
+def mixed_layouts(spark, sf_dir):
     path = scratch_path(spark, "log")
     even = F.col("line_no") % 2 == 0
     headed_log(fx.log_lines(spark, sf_dir).filter(even), LOG_COLUMNS, f"{path}/layout=whole")
@@ -54,7 +98,14 @@ def log_headers(spark, sf_dir):
     seconds = F.format_string("%.6f", F.unix_micros("ts") / F.lit(1e6))
     few = fx.conn(spark, sf_dir).filter(~even).select("scan_id", "line_no", F.concat_ws("\t", *dash, seconds).alias("value"))
     headed_log(few, ["resp_bytes", "service", "proto", "uid", "orig_bytes", "ts"], f"{path}/layout=few")
-    return conn_log.read_conn_log(spark, path + "/*/*").select("uid", "ts", "proto", "service", "duration", "orig_bytes", "resp_bytes")
+    return path
+
+
+@query("SELECT uid, ts, proto, service, CASE WHEN line_no % 2 = 0 THEN duration END AS duration, orig_bytes, resp_bytes FROM conn")
+def log_source_layouts(spark, sf_dir):
+    """Two layouts in one pass: each file is opened with its own header."""
+    columns = ["uid", "ts", "proto", "service", "duration", "orig_bytes", "resp_bytes"]
+    return log_source.scan_log(spark, mixed_layouts(spark, sf_dir), columns=columns).select(*columns)
 
 
 @query("SELECT uid, proto, coalesce(service, '-') AS service, '-' AS ip_proto FROM conn WHERE line_no % 3 <> 0")
