@@ -4,6 +4,7 @@ from connlens.plans import (  # noqa: F401  (registration)
     feature_queries,
     join_queries,
     label_queries,
+    learning_queries,
     model_queries,
     report_queries,
     source_queries,
