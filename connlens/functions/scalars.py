@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from connlens.schemas import ORIGIN_TEXTS
+
 SCAN_TIME = "yyyyMMdd_HHmmss"
 FILE_TIME = r"(\d{8}_\d{6})"
 
@@ -154,26 +158,29 @@ def origin_of_name(name: str | Column) -> Column:
     return F.when(n.startswith("capture_"), "timed_capture").when(n.startswith("uploaded_"), "upload").otherwise("unknown")
 
 
+def filled(template: str | None, fields: dict[str, Column]) -> Column:
+    """A text with the named fields put in for their braces; null where a field is."""
+    if template is None:
+        return F.lit(None).cast("string")
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] * bool(text) + ([fields[name]] if name else [])
+    return F.concat(*parts)
+
+
 def origin_text(origin: Column, interface: Column, seconds: Column, original: Column, documented: Column) -> tuple[Column, Column]:
     """Short and long description of where a capture came from."""
-    iface = F.coalesce(interface, F.lit("unknown"))
-    file = F.coalesce(original, F.lit("unknown"))
-    timed, upload, unknown = origin == "timed_capture", origin == "upload", origin.isNull() | (origin == "unknown")
-    short = (
-        F.when(documented & timed, F.concat(F.lit("Captured on "), iface))
-        .when(documented & upload, F.concat(F.lit("Uploaded: "), file))
-        .when(documented, F.concat(F.lit("Source: "), origin))
-        .when(timed, "Network Capture")
-        .when(upload, "File Upload")
-        .otherwise("Unknown Source")
-    )
-    seconds_text = F.coalesce(seconds, F.lit(0)).cast("string")
-    full = (
-        F.when(documented & timed, F.concat(F.lit("Network capture on interface "), iface, F.lit(" for "), seconds_text, F.lit(" seconds")))
-        .when(documented & upload, F.concat(F.lit("User uploaded file: "), file))
-        .when(documented, F.concat(F.lit("PCAP from "), origin))
-        .when(timed, "Timed network capture (metadata unavailable)")
-        .when(upload, "Uploaded PCAP file (metadata unavailable)")
-        .when(unknown, "Origin unknown")
-    )
-    return short, full
+    fields = {
+        "iface": F.coalesce(interface, F.lit("unknown")), "file": F.coalesce(original, F.lit("unknown")),
+        "seconds": F.coalesce(seconds, F.lit(0)).cast("string"), "origin": origin,
+    }
+    named = F.coalesce(origin, F.lit("unknown"))
+    out = []
+    for which in (2, 3):
+        text = F.lit(None).cast("string")
+        # Later rows are tried after earlier ones.
+        for row in reversed(ORIGIN_TEXTS):
+            fits = (documented == F.lit(row[0])) & (F.lit(True) if row[1] is None else named == row[1])
+            text = F.when(fits, filled(row[which], fields)).otherwise(text)
+        out.append(text)
+    return out[0], out[1]

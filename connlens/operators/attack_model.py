@@ -53,7 +53,7 @@ class AttackModel:
 
 def check_threshold(value: float) -> float:
     if not 0.0 <= value <= 1.0:
-        raise ValueError("Confidence threshold must be between 0.0 and 1.0")
+        raise ValueError(f"a threshold is a share from 0 to 1, not {value}")
     return value
 
 
@@ -96,11 +96,9 @@ def stratified_split(df: DataFrame, class_column: str = "class_name", key: str =
     return part.withColumn("side", F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
 
 
-def class_sizes(df: DataFrame, class_column: str = "class_name", most: int = 1000) -> dict[str, int]:
-    rows = df.groupBy(class_column).count().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} classes in {class_column!r}: not a class column")
-    return {r[0]: r[1] for r in rows}
+def class_sizes(df: DataFrame, class_column: str = "class_name") -> dict[str, int]:
+    """Rows of each class: one number a class, as many as a prediction of the model holds for every row."""
+    return {r[0]: r[1] for r in df.groupBy(class_column).count().collect()}
 
 
 def prepare(df: DataFrame, classes: Sequence[str], vector: str = "features", class_column: str = "class_name", sizes: Mapping[str, int] | None = None) -> DataFrame:
@@ -277,7 +275,7 @@ def evaluate_verified(store: DataFrame, model: AttackModel, newest: int | None =
     usable = with_class(rows.filter(F.col(vector).isNotNull() & (F.length("label_category") > 0) & (F.length("label_subcategory") > 0)))
     found = usable.count()
     if found < least:
-        raise ValueError(f"Insufficient rows: {found} verified, {least} are needed")
+        raise ValueError(f"too few rows: {found} are verified, {least} are needed")
     predicted = predict_classes(usable, model, vector)
     gated = F.concat_ws(".", "classification.category", "classification.subcategory")
     return metrics.class_report(predicted.select(F.col("class_name").alias("true_label"), gated.alias("prediction")))

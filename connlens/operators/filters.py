@@ -70,9 +70,9 @@ def frequent_classes(df: DataFrame, class_column: str = "class_name", least: int
 
 def check_trainable(rows: int, classes: int, least_rows: int = 20, least_classes: int = 2) -> None:
     if rows < least_rows:
-        raise ValueError(f"Insufficient training data: {rows} samples (minimum {least_rows} required)")
+        raise ValueError(f"too few rows to train on: {rows}, at least {least_rows} are needed")
     if classes < least_classes:
-        raise ValueError(f"Insufficient classes: {classes} (minimum {least_classes} required)")
+        raise ValueError(f"too few classes to tell apart: {classes}, at least {least_classes} are needed")
 
 
 def label_queue(results: DataFrame, labelled: DataFrame, size: int = 20, cut: float = 0.0) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from connlens.functions.scalars import missing
 from connlens.operators import labels, metrics
 from connlens.operators.attack_model import AttackModel, predict_classes
+from connlens.session import cut_lineage
+
+# Fixed value: note on an anomaly that no classifier could look at.
+NO_CLASSIFIER = "Classification model not available"
 
 CLASSIFICATION = (
     "struct<category: string, subcategory: string, confidence: double, is_confident: boolean, "
@@ -47,19 +51,19 @@ def hybrid_predict(scored: DataFrame, model: AttackModel | None = None, threshol
         F.lit("unknown").alias("category"), F.lit("unknown").alias("subcategory"), F.lit(0.0).alias("confidence"),
         F.lit(False).alias("is_confident"), F.lit(True).alias("requires_review"),
         F.lit(None).cast("map<string,double>").alias("probabilities"), absent.alias("error"),
-        F.lit("Classification model not available").alias("note"),
+        F.lit(NO_CLASSIFIER).alias("note"),
     )
     if model is None:
         classification = F.when(F.col("_anomalous"), undecided).cast(CLASSIFICATION)
         return base.withColumns({"classification": classification, "final_prediction": final}).drop("_anomalous")
-    # One pass over the rows: those that need no class bring the same vector of zeros.
-    nothing = F.array_repeat(F.lit(0.0), model.width)
-    asked = base.withColumn("_asked", F.when(F.col("_anomalous"), F.col(vector)).otherwise(nothing))
+    # Only anomalies are classified. The scores are written once, so that the two parts don't make them twice; a stream can't
+    # be written, and is scored in either part.
+    base = base if base.isStreaming else cut_lineage(base)
+    rest = base.filter(~F.col("_anomalous")).withColumns({"classification": F.lit(None).cast(CLASSIFICATION), "final_prediction": final}).drop("_anomalous")
     c = F.col("_class_of")
-    answered = predict_classes(asked, model, "_asked", "_class_of").drop("predicted_class")
-    decided = F.when(F.col("_anomalous"), _final(c["category"], c["subcategory"], c["confidence"], c["requires_review"])).otherwise(final)
-    out = answered.withColumns({"classification": F.when(F.col("_anomalous"), c.cast(CLASSIFICATION)), "final_prediction": decided})
-    return out.drop("_anomalous", "_asked", "_class_of")
+    answered = predict_classes(base.filter("_anomalous"), model, vector, "_class_of")
+    decided = _final(c["category"], c["subcategory"], c["confidence"], c["requires_review"])
+    return rest.unionByName(answered.withColumns({"classification": c.cast(CLASSIFICATION), "final_prediction": decided}).select(*rest.columns))
 
 
 def store_rows(predicted: DataFrame, vector: str = "z", now: Column | None = None) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from connlens.functions.scalars import missing
 
-# Support vectors times features up to this product are unrolled into one codegen expression.
+# Support vectors times features up to this product are unrolled into one generated expression; beyond it the same sums
+# are made in the same order by Arrow batches.
 UNROLLED_TERMS = 256
 
 
@@ -55,12 +56,16 @@ def score_kernel(df: DataFrame, model: KernelModel, vector: str = "z", output: s
     width = len(model.vectors[0])
     if len(model.vectors) * width <= UNROLLED_TERMS:
         return df.withColumn(output, kernel_score([F.col(vector)[i] for i in range(width)], model))
-    support, alphas = np.array(model.vectors), np.array(model.alphas)
-    norms = (support * support).sum(axis=1)
 
     def score(z: np.ndarray) -> np.ndarray:
-        distance = (z * z).sum(axis=1)[:, None] + norms[None, :] - 2.0 * z @ support.T
-        return np.exp(-model.gamma * np.maximum(distance, 0.0)) @ alphas - model.rho
+        columns = np.ascontiguousarray(z.T)
+        total = np.zeros(len(z))
+        for vector_, alpha in zip(model.vectors, model.alphas, strict=True):
+            distance = np.zeros(len(z))
+            for x, s in zip(columns, vector_, strict=True):
+                distance += (x - s) * (x - s)
+            total += alpha * np.exp(-model.gamma * distance)
+        return total - model.rho
 
     return _append_score(df, vector, output, width, score)
 

@@ -60,6 +60,7 @@ LABELLED_LEGACY = T.StructType([
     for name in ("timestamp", "uid", "score", "original_label", "user_label", "feature_vector")
 ])
 
+# Layout of a capture document.
 CAPTURE_DOCUMENT = (
     "pcap_filename string, pcap_path string, origin_type string, timestamp string, "
     "metadata struct<interface: string, duration_seconds: int, capture_method: string, "
@@ -68,6 +69,7 @@ CAPTURE_DOCUMENT = (
     "total_connections: bigint, analysis_timestamp: string, analysis_id: string>>"
 )
 
+# Columns of the training table.
 TRAINING = (
     "uid string, timestamp timestamp, source_ip string, dest_ip string, source_port int, dest_port int, proto string, "
     "service string, duration double, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, "
@@ -78,7 +80,19 @@ TRAINING = (
 
 TRAINING_TYPES = dict(part.split(" ", 1) for part in TRAINING.split(", "))
 
-# Record shapes handed to readers of the training table.
+# Displayed texts on where a capture came from, short and long, by whether a document tells and by the
+# origin (None: any other). Braces name what is put in.
+ORIGIN_TEXTS = [
+    (True, "timed_capture", "Captured on {iface}", "Network capture on interface {iface} for {seconds} seconds"),
+    (True, "upload", "Uploaded: {file}", "User uploaded file: {file}"),
+    (True, None, "Source: {origin}", "PCAP from {origin}"),
+    (False, "timed_capture", "Network Capture", "Timed network capture (metadata unavailable)"),
+    (False, "upload", "File Upload", "Uploaded PCAP file (metadata unavailable)"),
+    (False, "unknown", "Unknown Source", "Origin unknown"),
+    (False, None, "Unknown Source", None),
+]
+
+# Record shapes handed to readers of the training table.
 BROWSE_FIELDS = [
     "uid", "timestamp", "source_ip", "dest_ip", "source_port", "dest_port", "proto", "service", "duration",
     "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "history", "anomaly_score", "is_anomaly",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from connlens.functions.scalars import file_stem, origin_of_name, text_to_timestamp
+from connlens.operators.spread import sized_join
 from connlens.schemas import CAPTURE_DOCUMENT
 
 LINEAGE = (
@@ -60,15 +61,17 @@ def read_lineage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nested_documents(lineage: DataFrame, largest: int = 100_000) -> DataFrame:
-    """The document shape again: one row per capture with the array of its distinct analyses.
+    """The document shape again: one row per capture with the array of its distinct analyses, and ``part``.
 
-    A document holds all analyses of its capture, so the largest one is
-    checked first; work on the flat table beyond that.
+    A capture with more than ``largest`` analyses comes in numbered parts of
+    about half that size, dealt by a hash of the analysis; most have part 0 alone.
     """
     rows = lineage.distinct()
-    most = rows.groupBy("pcap_name").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if most > largest:
-        raise ValueError(f"a capture has {most} analyses; use the flat lineage table")
+    sizes = rows.groupBy("pcap_name").agg(F.count("*").alias("_n")).filter(F.col("_n") > largest)
+    parts = sizes.select("pcap_name", F.ceil(F.col("_n") * 2 / largest).cast("int").alias("_parts"))
+    # Only captures over the limit are listed, and few rows of a table can have that many.
+    split = sized_join(rows, parts, "pcap_name")
+    part = F.coalesce(F.pmod(F.xxhash64("analysis_id"), F.col("_parts")).cast("int"), F.lit(0))
     entry = F.when(F.col("analysis_id").isNotNull(), F.struct("analysis_id", "anomaly_count", "total_connections"))
     keys = ["pcap_name", "origin_type", "iface", "duration_seconds", "original_filename", "created"]
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("analysis_results"))
+    return split.withColumn("part", part).groupBy(*keys, "part").agg(F.sort_array(F.collect_list(entry)).alias("analysis_results"))

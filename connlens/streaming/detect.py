@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from connlens.functions.scalars import zoned_time
 from connlens.operators.scoring import Detector, score_log
 from connlens.schemas import LOG_COLUMNS
+from connlens.sources import tables
 from connlens.sources.conn_log import parse_lines
 
 
@@ -73,3 +74,28 @@ def running_counters(conns: DataFrame, width: str = "1 day", late: str | None =
         sums.append(F.count_if(F.col("prediction") == "anomaly").alias("anomalies"))
     slots = rows.groupBy(F.window("ts", width).alias("_w"), F.coalesce("proto", F.lit("-")).alias("proto")).agg(*sums)
     return slots.select(F.col("_w.start").alias("slot"), *[c for c in slots.columns if c != "_w"])
+
+
+def write_counters(counted: DataFrame, root: str, checkpoint: str, name: str = "counters", buckets: int = 8, available_now: bool = True, interval: str = "1 second") -> StreamingQuery:
+    """Merge the slots that a batch has changed into a stored table: only their buckets are rewritten.
+
+    The rows are totals, not differences, so a batch that is repeated after a
+    failure leaves the table as it was. ``read_counters`` gives the table.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("key", F.concat_ws("|", F.col("slot").cast("string"), "proto")).persist()
+        try:
+            if tables.exists(rows.sparkSession, root, name):
+                tables.change(root, name, rows, lambda old: old.join(rows, "key", "left_anti").unionByName(rows))
+            elif rows.limit(1).count():
+                tables.publish(rows, root, name, key="key", buckets=buckets, first=True)
+        finally:
+            rows.unpersist()
+
+    writer = counted.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def read_counters(spark: SparkSession, root: str, name: str = "counters") -> DataFrame:
+    return tables.current(spark, root, name).drop("key", "_bucket")

@@ -136,13 +136,23 @@ def test_hybrid_prediction(spark, forest):
     assert bare["A"]["classification"]["note"] == "Classification model not available"
 
 
-def test_hybrid_prediction_reads_its_rows_once(spark, forest):
+def test_hybrid_prediction_reads_its_rows_once(spark, forest, monkeypatch):
     late = scored(spark).unionByName(spark.createDataFrame([("X", at(4), None, None)], scored(spark).schema))
     out = hybrid.hybrid_predict(late, forest)
     assert out.columns == [*late.columns, "anomaly_detection", "error", "classification", "final_prediction"]
     assert rows(out, "uid") == [("A",), ("E",), ("M",), ("N",), ("X",)]
-    one = hybrid.hybrid_predict(scored(spark).repartition(2), forest)
-    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange RoundRobin") == 1
+    # Every row is scored once, and only the anomaly is classified.
+    seen, asked = spark.sparkContext.accumulator(0), []
+
+    @F.udf("double")
+    def counted(score):
+        seen.add(1)
+        return score
+
+    real = hybrid.predict_classes
+    monkeypatch.setattr(hybrid, "predict_classes", lambda df, *more: asked.append(df.count()) or real(df, *more))
+    assert len(hybrid.hybrid_predict(late.withColumn("score", counted("score")), forest).collect()) == 5
+    assert seen.value == 5 and asked == [1]
 
 
 def test_quality_counts_absent_parts_as_false(spark, forest):
@@ -169,9 +179,9 @@ def test_training_from_the_store(spark):
     model, parts = attack_model.train_from_store(store, numTrees=5, maxDepth=4)
     assert parts["summary"].first()["accuracy"] >= 0.9 and model.facts["classes_count"] == 3
     assert attack_model.evaluate_verified(store, model).agg(F.sum("support")).first()[0] == 200
-    with pytest.raises(ValueError, match="Insufficient"):
+    with pytest.raises(ValueError, match="too few"):
         attack_model.train_from_store(store.limit(5), numTrees=2)
-    with pytest.raises(ValueError, match="Insufficient"):
+    with pytest.raises(ValueError, match="too few"):
         attack_model.evaluate_verified(store.limit(5), model)
 
 

@@ -138,3 +138,46 @@ def test_a_change_rewrites_only_the_touched_buckets(spark, tmp_path):
     assert tables.change(root, "x", keys.limit(0), lambda old: old) == 4
     with pytest.raises(ValueError):
         tables.current(spark, root, "absent")
+
+
+def test_analyses_of_a_hot_capture_come_in_bounded_parts(spark):
+    flat = spark.range(500).select(F.when(F.col("id") < 480, "hot.pcap").otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("pcap_name"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("analysis_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("origin_type", "string"), ("iface", "string"), ("duration_seconds", "int"), ("original_filename", "string"), ("created", "timestamp"))], F.lit(1).cast("bigint").alias("anomaly_count"), F.col("id").alias("total_connections"))
+    out = captures.nested_documents(flat.unionByName(flat), largest=50).collect()
+    hot = [r for r in out if r["pcap_name"] == "hot.pcap"]
+    assert len(hot) > 9 and all(len(r["analysis_results"]) <= 50 for r in hot) and len({r["part"] for r in hot}) == len(hot)
+    assert sorted(a["analysis_id"] for r in out for a in r["analysis_results"]) == sorted(f"a{i}" for i in range(500))
+    assert all(r["part"] == 0 for r in out if r["pcap_name"] != "hot.pcap")
+
+
+def test_second_writer_of_a_version_is_refused_and_begins_again(spark, tmp_path):
+    root = str(tmp_path)
+    df = spark.createDataFrame([(f"u{i}", 0) for i in range(40)], "uid string, n int")
+    tables.publish(df, root, "t", buckets=4, first=True)
+    keys = spark.createDataFrame([("u1",), ("u2",)], "uid string")
+    calls = []
+
+    def add(old):
+        if not calls:
+            # Another writer is first while this one works.
+            calls.append(1)
+            tables.change(root, "t", keys, lambda o: o.withColumn("n", F.when(F.col("uid").isin("u1", "u2"), F.col("n") + 10).otherwise(F.col("n"))))
+        return old.withColumn("n", F.when(F.col("uid").isin("u1", "u2"), F.col("n") + 1).otherwise(F.col("n")))
+
+    assert tables.change(root, "t", keys, add) == 3
+    got = {r["uid"]: r["n"] for r in tables.current(spark, root, "t").collect()}
+    assert len(got) == 40 and got["u1"] == got["u2"] == 11 and sum(got.values()) == 22
+    with pytest.raises(tables.Conflict):
+        tables._write(df, root, "t", 3, "uid", 4, [0, 1, 2, 3])
+    assert {r["uid"]: r["n"] for r in tables.current(spark, root, "t", version=2).collect()}["u1"] == 10
+
+
+def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 10)
+    df = spark.createDataFrame([(f"u{i}", i) for i in range(45)], "uid string, n int")
+    root = str(tmp_path)
+    tables.publish(df.limit(15), root, "t", first=True)
+    assert tables._pointers(spark, root, "t").first()["buckets"] == 2
+    tables.publish(df, root, "t")
+    assert tables._pointers(spark, root, "t").filter("version = 2").first()["buckets"] == 5
+    assert tables.current(spark, root, "t").count() == 45 and tables.current(spark, root, "t", version=1).count() == 15
+    assert tables.exists(spark, root, "t") and not tables.exists(spark, root, "other") and not tables.exists(spark, root + "/none", "t")

@@ -7,6 +7,7 @@ from connlens.operators.flows import anomaly_context
 from connlens.operators.one_class import KernelModel
 from connlens.operators.scoring import Detector, score_scan
 from connlens.schemas import LOG_COLUMNS
+from connlens.sources import tables
 from connlens.sources.conn_log import read_conn_log
 from connlens.streaming import context, detect
 from helpers import at, rows
@@ -96,3 +97,25 @@ def test_context_over_several_batches_equals_the_batch_join(spark, tmp_path):
     batch = spark.createDataFrame(everything, schema)
     want = anomaly_context(batch.filter("uid IS NULL"), batch.filter("uid IS NOT NULL"), 30)
     assert rows(got, "uid", "pkt_id", "back") == rows(want, "uid", "pkt_id", "back")
+
+
+def test_counters_are_merged_and_survive_a_restart_and_a_repeat(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    root, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
+
+    def run():
+        counted = detect.running_counters(detect.follow_log(spark, str(logs), files_per_trigger=1), "10 minutes")
+        finish(detect.write_counters(counted, root, checkpoint, buckets=3))
+        return rows(detect.read_counters(spark, root), "slot", "proto", "n")
+
+    write_log(logs, "a.log", [(i, f"C{i}", "tcp", 0.1) for i in range(20)])
+    write_log(logs, "b.log", [(700 + i, f"D{i}", "udp", 0.1) for i in range(5)])
+    assert run() == [(at(0), "tcp", 20), (at(600), "udp", 5)]
+    write_log(logs, "c.log", [(i, f"E{i}", "tcp", 0.1) for i in range(3)] + [(700, "F", "tcp", 0.1)])
+    want = [(at(0), "tcp", 23), (at(600), "tcp", 1), (at(600), "udp", 5)]
+    assert run() == want and run() == want
+    # A batch that comes again brings the same totals.
+    again = spark.createDataFrame([(at(0), "tcp", 23)], "slot timestamp, proto string, n long").withColumn("key", F.concat_ws("|", F.col("slot").cast("string"), "proto"))
+    tables.change(root, "counters", again, lambda old: old.drop("_bucket").join(again, "key", "left_anti").unionByName(again))
+    assert rows(detect.read_counters(spark, root), "slot", "proto", "n") == want
