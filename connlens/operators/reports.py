@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,24 @@ def scan_totals(results: DataFrame) -> DataFrame:
     return counts.withColumn("anomaly_rate", F.round(ratio(F.col("anomalies"), F.col("connections"), 100), 2))
 
 
-def recent_scans(results: DataFrame, size: int = 10, origins: DataFrame | None = None) -> DataFrame:
+def newest_scans(rows: DataFrame, size: int = 10) -> list[str | None]:
+    """The newest scan ids of a log or of results, at most ``size``; only the ids are read."""
+    return [r["scan_id"] for r in rows.select("scan_id").distinct().orderBy(F.col("scan_id").desc()).limit(size).collect()]
+
+
+def of_scans(rows: DataFrame, scans: Sequence[str | None]) -> DataFrame:
+    """Rows of the named scans. The names are literals: the filter reaches the files when it is put before the scoring."""
+    named = F.col("scan_id").isin([s for s in scans if s is not None])
+    return rows.filter(named | F.col("scan_id").isNull() if None in scans else named)
+
+
+def recent_scans(results: DataFrame, size: int = 10, origins: DataFrame | None = None, scans: Sequence[str | None] | None = None) -> DataFrame:
     """The newest scans with a readable time; ``origins`` adds one origin record per scan.
 
-    The scans are chosen from their ids alone, so only rows of those scans are scored and grouped.
+    ``scans`` names them when they are known, from ``newest_scans`` of the log
+    or from the names of folders; ``results`` may then hold their rows alone.
     """
-    newest = results.select(F.col("scan_id").alias("_newest")).distinct().orderBy(F.col("_newest").desc()).limit(size)
-    chosen = results.join(F.broadcast(newest), F.col("scan_id").eqNullSafe(F.col("_newest")), "left_semi")
+    chosen = of_scans(results, newest_scans(results, size) if scans is None else scans)
     named = F.coalesce(display_time(scan_time("scan_id")), F.translate("scan_id", "_", " "))
     out = scan_totals(chosen).withColumn("scan_time", named)
     if origins is None:

@@ -22,9 +22,11 @@ def full_detector(spark: SparkSession, sf_dir: str) -> Detector:
     return Detector(table, scaling.Scaler(tuple(features), fitted.mean, fitted.std), fx.FULL_MODEL)
 
 
-def full_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_scored(spark: SparkSession, sf_dir: str, scans: list | None = None) -> DataFrame:
+    """The scored log, or some of its scans; the detector is fitted on the whole log."""
     detector = full_detector(spark, sf_dir)
-    z = vectorise(fx.conn(spark, sf_dir), detector.encoder, detector.scaler)
+    log = fx.conn(spark, sf_dir)
+    z = vectorise(log if scans is None else reports.of_scans(log, scans), detector.encoder, detector.scaler)
     scored = score_vectors(z, detector.model).withColumn("score", F.round("score", 6))
     return scored.withColumn("prediction", label("score"))
 
@@ -39,7 +41,8 @@ FROM (SELECT scan_id, count(*) AS connections, count(*) FILTER (WHERE score < 0)
 WHERE anomalies > 0
 """)
 def scan_severity(spark, sf_dir):
-    return reports.threat_timeline(reports.recent_scans(full_scored(spark, sf_dir)))
+    newest = reports.newest_scans(fx.conn(spark, sf_dir))
+    return reports.threat_timeline(reports.recent_scans(full_scored(spark, sf_dir, newest), scans=newest))
 
 
 @query("""

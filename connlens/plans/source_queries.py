@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from connlens.functions.scalars import is_ipv6, iso_time, scan_id_of
-from connlens.operators import joins, labels
+from connlens.operators import joins, labels, reports
 from connlens.plans import fixtures as fx
 from connlens.plans.label_queries import NOW, STORE_FIELDS, labelled_log
 from connlens.plans.registry import ORACLES, query
@@ -151,11 +151,28 @@ def result_corpus(spark, sf_dir):
 def latest_scan(spark, sf_dir):
     path = scratch_path(spark, "results")
     results.write_results(fx.pred(spark, sf_dir), path)
-    newest = results.latest_scan(results.read_corpus(spark, path)).first()["scan_id"]
+    newest = results.newest_folders(path)[0]
     rows = results.read_results(spark, f"{path}/scan_id={newest}")
     return rows.agg(F.count("*").alias("n")).select(F.lit(newest).alias("scan_id"), "n")
 
 
+@query("""
+SELECT scan_id, connections, anomalies, anomaly_rate,
+  upper(strftime(strptime(scan_id, '%Y%m%d_%H%M%S'), '%d %b %Y %H:%M')) AS scan_time,
+  CASE WHEN anomaly_rate > 50 THEN 'high' WHEN anomaly_rate > 20 THEN 'medium' ELSE 'low' END AS severity
+FROM (SELECT scan_id, count(*) AS connections, count(*) FILTER (WHERE score < 0) AS anomalies,
+    round(100 * CAST(count(*) FILTER (WHERE score < 0) AS DOUBLE) / count(*), 2) AS anomaly_rate
+  FROM pred GROUP BY scan_id ORDER BY scan_id DESC LIMIT 10) r
+WHERE anomalies > 0
+""")
+def folder_severity(spark, sf_dir):
+    """Severity of the newest scans of a corpus: the folders' names choose them, other folders are not opened."""
+    path = scratch_path(spark, "results")
+    results.write_results(fx.pred(spark, sf_dir), path)
+    newest = results.newest_folders(path, 10)
+    return reports.threat_timeline(reports.recent_scans(results.read_scans(spark, path, newest), scans=newest))
+
+
 @query("SELECT uid, source_ip, anomaly_score, is_anomaly, label_category, confidence_level, review_status, 4 AS width FROM training")
 def export_json(spark, sf_dir):
     path = scratch_path(spark, "export")

@@ -14,6 +14,13 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), named.path) if named.scheme in ("", "file") else fs.FileSystem.from_uri(uri)
 
 
+def folders(uri: str) -> list[tuple[str, float]]:
+    """Name and change time of each folder right below a location, hidden ones left out: a listing, no file is opened."""
+    where, path = store(uri)
+    found = where.get_file_info(fs.FileSelector(path.rstrip("/"), recursive=False))
+    return [(f.base_name, f.mtime.timestamp() if f.mtime else 0.0) for f in found if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))]
+
+
 def listed(uri: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
     """Files of a folder (with those below it), a pattern or a single path, in order of their paths; hidden ones are left out."""
     where, path = store(uri)

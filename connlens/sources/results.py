@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from connlens.functions.scalars import scan_time, text_to_timestamp
 from connlens.schemas import RESULT, RESULT_WITH_TRUTH
+from connlens.sources.files import folders
 
 REQUIRED = [f.name for f in RESULT.fields]
 
@@ -55,6 +60,24 @@ def read_corpus(spark: SparkSession, root: str, file: str = "*.csv") -> DataFram
     )
 
 
+def scan_folders(root: str) -> list[tuple[str, float]]:
+    """(scan id, change time) of every scan below ``root``, from the names of the folders alone."""
+    return [(unquote(name.removeprefix("scan_id=")), changed) for name, changed in folders(root)]
+
+
+def newest_folders(root: str, size: int = 1, by: str = "scan_id") -> list[str]:
+    """Ids of the newest scans, by name or by the change time of their folders."""
+    found = scan_folders(root)
+    return [name for name, _ in sorted(found, key=lambda f: f[0] if by == "scan_id" else (f[1], f[0]), reverse=True)[:size]]
+
+
+def read_scans(spark: SparkSession, root: str, scans: Sequence[str]) -> DataFrame:
+    """Rows of some scans: the ids are a literal filter on the partition column, so other folders are not opened."""
+    schema = T.StructType([*RESULT.fields, T.StructField("scan_id", T.StringType())])
+    rows = spark.read.option("header", True).schema(schema).option("basePath", root).csv(root).filter(F.col("scan_id").isin(list(scans)))
+    return rows.select("scan_id", "uid", text_to_timestamp("timestamp").alias("timestamp"), "score", "prediction")
+
+
 def latest_scan(corpus: DataFrame, by: str = "scan_id") -> DataFrame:
     """The newest scan by name or by file time, one row."""
     if by == "scan_id":

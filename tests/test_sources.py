@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from connlens.operators import labels
+from connlens.operators import labels, reports
 from connlens.sources import captures, conn_log, labelled, results, tables
 from connlens.schemas import LOG_COLUMNS
 from helpers import at, rows
@@ -181,3 +181,21 @@ def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
     assert tables._pointers(spark, root, "t").filter("version = 2").first()["buckets"] == 5
     assert tables.current(spark, root, "t").count() == 45 and tables.current(spark, root, "t", version=1).count() == 15
     assert tables.exists(spark, root, "t") and not tables.exists(spark, root, "other") and not tables.exists(spark, root + "/none", "t")
+
+
+def test_only_the_named_scans_are_opened(spark, tmp_path):
+    root = str(tmp_path / "results")
+    df = spark.createDataFrame([(f"2024010{d}_000000", f"u{d}{i}", at(i), 0.1 * i, "normal") for d in range(1, 6) for i in range(3)], "scan_id string, uid string, timestamp timestamp, score double, prediction string")
+    results.write_results(df, root)
+    assert results.newest_folders(root, 2) == ["20240105_000000", "20240104_000000"] and len(results.newest_folders(root, 9, by="modified")) == 5
+    out = results.read_scans(spark, root, results.newest_folders(root, 2))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [scan_id" in plan and "20240105_000000" in plan
+    assert rows(out, "scan_id", "uid") == [(f"2024010{d}_000000", f"u{d}{i}") for d in (4, 5) for i in range(3)] and out.first()["timestamp"] is not None
+    assert sorted({r["scan_id"] for r in reports.recent_scans(results.read_scans(spark, root, ["20240103_000000"]), scans=["20240103_000000"]).collect()}) == ["20240103_000000"]
+
+
+def test_newest_scans_may_hold_none(spark):
+    df = spark.createDataFrame([("20240101_000000", "anomaly"), (None, "normal"), (None, "anomaly")], "scan_id string, prediction string")
+    assert reports.newest_scans(df, 5) == ["20240101_000000", None] and reports.newest_scans(df, 1) == ["20240101_000000"]
+    assert {r["scan_id"]: r["connections"] for r in reports.recent_scans(df, 5).collect()} == {"20240101_000000": 1, None: 2}
