@@ -119,3 +119,47 @@ def test_counters_are_merged_and_survive_a_restart_and_a_repeat(spark, tmp_path)
     again = spark.createDataFrame([(at(0), "tcp", 23)], "slot timestamp, proto string, n long").withColumn("key", F.concat_ws("|", F.col("slot").cast("string"), "proto"))
     tables.change(root, "counters", again, lambda old: old.drop("_bucket").join(again, "key", "left_anti").unionByName(again))
     assert rows(detect.read_counters(spark, root), "slot", "proto", "n") == want
+
+
+def test_packets_later_than_the_anomaly_s_batch_count(spark, tmp_path):
+    source, answers, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    schema = "iface string, ts timestamp, pkt_id bigint, uid string"
+
+    def run(*events):
+        spark.createDataFrame(list(events), schema).coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        found = context.late_lane_answers(arriving, "10 seconds", last=3, buffer=2, lanes=2, idle="1 minute")
+        finish(found.writeStream.format("parquet").option("path", answers).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        return [(r["uid"], r["pkt_id"]) for r in context.newest_of_lanes(spark.read.schema(context.ANSWER).parquet(answers), 3).orderBy("uid", "pkt_id").collect()]
+
+    packets = [("e", at(i), i, None) for i in range(1, 6)]
+    assert run(*packets, ("e", at(6), None, "A")) == []
+    # Out of order, after the anomaly's batch, before the watermark: it counts. A packet after the anomaly does not.
+    assert run(("e", at(5.5), 50, None), ("e", at(7), 7, None)) == []
+    assert run(("e", at(12), 12, None), ("f", at(12), 99, None)) == []
+    assert run(("e", at(30), None, None)) == [("A", 4), ("A", 5), ("A", 50)]
+    # Later anomalies of the same interface still find what they need; an idle lane ends.
+    assert run(("e", at(31), None, "B"), ("e", at(60), None, None)) == [("A", 4), ("A", 5), ("A", 50), ("B", 7), ("B", 12), ("B", 50)]
+    assert len(run(("g", at(500), 1, None))) == 6
+
+
+def test_late_context_equals_the_batch_context(spark, tmp_path):
+    draw = random.Random(5)
+    packets = [(draw.choice("ef"), at(draw.randrange(1000)), i, None) for i in range(300)]
+    asked = [(draw.choice("ef"), at(draw.randrange(1000)), None, f"A{i}") for i in range(40)]
+    schema = "iface string, ts timestamp, pkt_id bigint, uid string"
+    events = packets + asked
+    draw.shuffle(events)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for at_ in range(0, len(events), 80):
+        spark.createDataFrame(events[at_ : at_ + 80], schema).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([("e", at(9000), None, None), ("f", at(9000), None, None)], schema).coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = context.late_lane_answers(arriving, "1 hour", last=20, buffer=30, lanes=3)
+    finish(found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    got = {}
+    for r in context.newest_of_lanes(spark.read.schema(context.ANSWER).parquet(out), 20).collect():
+        got.setdefault(r["uid"], set()).add(r["pkt_id"])
+    for iface, when, _, uid in asked:
+        before = sorted(((t, p) for i, t, p, _ in packets if i == iface and t <= when), reverse=True)[:20]
+        assert got.get(uid, set()) == {p for _, p in before}
