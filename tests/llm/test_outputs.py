@@ -19,7 +19,7 @@ from connlens.session import scratch_path
 
 from .conftest import ODD
 
-ALPHABET = " \n\tab'sé1.!, ▁日ß\x85 THE\x01\x1ć‍Σσİ ﬁ가<|endoftext|>"
+ALPHABET = " \n\tab'sé1.!, ▁日ß\x85 THE\x01\x1c\u0301\u200dΣσİ ﬁ가<|endoftext|>"
 
 
 def scribbles(n, seed=1):
@@ -72,7 +72,7 @@ def test_token_files_give_back_every_id(spark, odd, words):
         with where.open_input_file(f"{path}/{f['file']}") as source:
             assert source.size() == f["bytes"]
             # A plain reader that knows nothing of the lists gets all ids of the file in order.
-            plain = b"".join(zstandard.ZstdDecompressor().read_to_iter(source.read(), read_across_frames=True)) if f["frames"] else b""
+            plain = zstandard.ZstdDecompressor().stream_reader(source.read(), read_across_frames=True).read()
             ids = b"".join(x for _, some in FrameReader(source).ids() for x in some)
             assert plain == ids and len(ids) == 4 * f["tokens"]
 
