@@ -1,11 +1,13 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from connlens.operators import attack_model, curves, hybrid, labels, metrics
+from connlens.operators import attack_model, curves, hybrid, labels, metrics, one_class
 from helpers import at, rows
 
 
@@ -202,3 +204,47 @@ def test_linear_one_class_runs_all_default_epochs(spark, sf_dir, monkeypatch):
     asked, real = [], model_queries.fit_one_class
     monkeypatch.setattr(model_queries, "fit_one_class", lambda z, **options: asked.append(options) or real(z, **options))
     assert model_queries.linear_one_class(spark, sf_dir).count() == 2 and "epochs" not in asked[0]
+
+
+def plain_fit(z, nu, gamma, size, epochs, seed):
+    """The same steps over all rows in one matrix."""
+    w, b = one_class._draw(z.shape[1], size, gamma, seed)
+    phi = math.sqrt(2.0 / size) * np.cos(z @ w + b)
+    weights, average, mass = phi.mean(axis=0), np.zeros(size), 0.0
+
+    def quantile():
+        return np.sort(phi @ weights)[math.ceil(nu * len(z)) - 1]
+
+    for t in range(1, epochs + 1):
+        held = phi[phi @ weights <= quantile()]
+        weights = weights - (weights - held.mean(axis=0)) / (t + 1.0)
+        if t > epochs // 2:
+            average, mass = average + t * weights, mass + t
+    weights = average / mass
+    return weights, quantile()
+
+
+def test_the_fit_equals_plain_steps_and_makes_features_of_all_rows_once_an_epoch(spark, tmp_path, monkeypatch):
+    z = np.random.default_rng(6).normal(size=(300, 3))
+    df = spark.createDataFrame([([float(x) for x in v],) for v in z], "z array<double>")
+    made = []
+    summed = one_class._feature_sum
+
+    def counted(rows, *rest):
+        made.append(rows.count())
+        return summed(rows, *rest)
+
+    monkeypatch.setattr(one_class, "_feature_sum", counted)
+    model = one_class.fit_one_class(df, nu=0.1, gamma=0.4, size=64, epochs=6)
+    weights, rho = plain_fit(z, 0.1, 0.4, 64, 6, 42)
+    assert np.allclose(model.weights, weights, atol=1e-12) and model.rho == pytest.approx(rho, abs=1e-12)
+    assert made == [300] + [30] * 6
+
+
+def test_features_are_made_in_blocks_and_equal_numpy_s_cosine():
+    z = np.concatenate([np.random.default_rng(1).normal(size=(200, 4)) * 30, np.full((1, 4), 1000.0)])
+    drawn = one_class._draw(4, 32, 0.3, 7)
+    parts = list(one_class._features(z, "rbf", drawn))
+    assert max(len(p) for p in parts) <= one_class.BLOCK
+    assert np.abs(np.concatenate(parts) - 0.25 * np.cos(z @ drawn[0] + drawn[1])).max() < 1e-11
+    assert len(one_class._margins(z[:0], "rbf", drawn, np.ones(32))) == 0
