@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from connlens.functions.scalars import missing
 from connlens.operators import labels, metrics
 from connlens.operators.attack_model import AttackModel, predict_classes
+from connlens.operators.spread import spread_evenly
 from connlens.session import cut_lineage
 
 # Fixed value: note on an anomaly that no classifier could look at.
@@ -58,7 +59,7 @@ def hybrid_predict(scored: DataFrame, model: AttackModel | None = None, threshol
         return base.withColumns({"classification": classification, "final_prediction": final}).drop("_anomalous")
     # Only anomalies are classified. The scores are written once, so that the two parts don't make them twice; a stream can't
     # be written, and is scored in either part.
-    base = base if base.isStreaming else cut_lineage(base)
+    base = base if base.isStreaming else cut_lineage(spread_evenly(base))
     rest = base.filter(~F.col("_anomalous")).withColumns({"classification": F.lit(None).cast(CLASSIFICATION), "final_prediction": final}).drop("_anomalous")
     c = F.col("_class_of")
     answered = predict_classes(base.filter("_anomalous"), model, vector, "_class_of")

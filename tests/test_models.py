@@ -248,3 +248,26 @@ def test_features_are_made_in_blocks_and_equal_numpy_s_cosine():
     assert max(len(p) for p in parts) <= one_class.BLOCK
     assert np.abs(np.concatenate(parts) - 0.25 * np.cos(z @ drawn[0] + drawn[1])).max() < 1e-11
     assert len(one_class._margins(z[:0], "rbf", drawn, np.ones(32))) == 0
+
+
+def test_one_partition_of_rows_is_fitted_and_predicted_by_all_slots(spark, monkeypatch):
+    df, seen, slots = vectors(spark).coalesce(1), [], spark.sparkContext.defaultParallelism
+    real, predicted = attack_model._estimator, attack_model.predict_classes
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, rows):
+            seen.append(rows.groupBy(F.spark_partition_id()).count().count())
+            return self.inner.fit(rows)
+
+    def counted(rows, *rest):
+        seen.append(rows.groupBy(F.spark_partition_id()).count().count())
+        return predicted(rows, *rest)
+
+    monkeypatch.setattr(attack_model, "_estimator", lambda *a: Counted(real(*a)))
+    monkeypatch.setattr(attack_model, "predict_classes", counted)
+    model = attack_model.fit_attack_model(df, numTrees=3, maxDepth=3)
+    report = attack_model.evaluate(df, model)["report"]
+    assert seen == [slots] * 2 and report.agg(F.sum("support")).first()[0] == 200
