@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from connlens.operators import encoding, scaling
@@ -163,3 +166,42 @@ def test_late_context_equals_the_batch_context(spark, tmp_path):
     for iface, when, _, uid in asked:
         before = sorted(((t, p) for i, t, p, _ in packets if i == iface and t <= when), reverse=True)[:20]
         assert got.get(uid, set()) == {p for _, p in before}
+
+
+class Lane:
+    """State of one lane, as the state function sees it."""
+
+    def __init__(self, watermark):
+        self.get, self.watermark = None, watermark
+
+    @property
+    def exists(self):
+        return self.get is not None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.get = value
+
+    def setTimeoutTimestamp(self, when):
+        self.wakes = when
+
+
+def test_a_waiting_lane_holds_few_bytes_a_packet():
+    n, state = 100_000, Lane(0)
+    frame = pd.DataFrame({"us": np.arange(n) * 1000, "pkt_id": np.arange(n) + 10**12, "uid": [None] * n})
+    asked = pd.DataFrame({"us": [50_000_000, 60_000_000], "pkt_id": [None, None], "uid": ["A\n\u00e9", "B"]})
+    run = context.answer_when_due(3, 5, 1000)
+    tracemalloc.start()
+    assert list(run(("e", 0), iter([frame, asked]), state)) == []
+    list(run(("e", 0), iter([frame[:0]]), state))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * n and sum(len(x) for x in state.get) < 17 * n
+    state.watermark = 55_000
+    (found,) = run(("e", 0), iter([frame[:0]]), state)
+    assert found["uid"].tolist() == ["A\n\u00e9"] * 3 and found["pkt_id"].tolist() == [10**12 + i for i in (49_998, 49_999, 50_000)]
+    state.watermark = 61_000
+    (found,) = run(("e", 0), iter([]), state)
+    assert found["uid"].tolist() == ["B"] * 3 and found["packet_us"].max() == 60_000_000
