@@ -66,6 +66,17 @@ class Remembered(dict):
         return found
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What a worker keeps from one task to the next, for one operator at a time: what another one left is freed first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 # Bytes of a text: 0 space, 1 part of a word, 2 other mark.
 BYTE_KIND = np.full(256, 2, np.uint8)
 BYTE_KIND[:33] = 0

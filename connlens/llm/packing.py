@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from connlens.llm.common import Remembered, quoted, saved, table
+from connlens.llm.common import Remembered, kept, quoted, saved, table
 
 SIZE = 2048
 END = 1
@@ -133,13 +133,8 @@ def _fast(ranks: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
 
-_READY: dict[tuple, Ids] = {}
-
-
 def ids_of(path: str, ranks: str | None = None) -> Ids:
-    if (path, ranks) not in _READY:
-        _READY[path, ranks] = Ids(path, ranks)
-    return _READY[path, ranks]
+    return kept(("packing", path, ranks), lambda: Ids(path, ranks))
 
 
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = END, ranks: str | None = None, step: int = 400) -> DataFrame:

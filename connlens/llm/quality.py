@@ -18,14 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from connlens.llm.common import BYTE_KIND, mixed, quoted, remainder, table, text_batches, tokens
+from connlens.llm.common import BYTE_KIND, kept, mixed, quoted, remainder, table, text_batches, tokens
 
 BITS = 18
 #: Labelled rows used by the fit.
 SAMPLE = 6000
+#: Texts of an Arrow batch made Python objects at a time, and bytes whose features are made at a time: a worker then needs
+#: a few times the batch itself.
+STEP = 200
+MOST = 1 << 20
 
 _SHAPE = np.zeros(256, np.uint64)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 1, 2, 3, 4
@@ -54,7 +59,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
 
 
 def _vectors(texts: list, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, n, data, offsets in text_batches(texts):
+    for _, n, data, offsets in text_batches(texts, MOST):
         number, doc = features(data, offsets, bits)
         ordered = number[np.argsort(doc, kind="stable")]
         cuts = np.cumsum(np.bincount(doc, minlength=n))
@@ -113,7 +118,7 @@ def fit(
 def score(texts: list, model: Model) -> np.ndarray:
     """Share of label 1 for each text, whole texts in bounded batches."""
     out = np.empty(len(texts))
-    for first, n, data, offsets in text_batches(texts):
+    for first, n, data, offsets in text_batches(texts, MOST):
         number, doc = features(data, offsets, model.bits)
         total = np.bincount(doc, model.weights[number], n)
         count = np.maximum(1, np.bincount(doc, minlength=n))
@@ -124,10 +129,13 @@ def score(texts: list, model: Model) -> np.ndarray:
 def score_column(text: Column, model: Model) -> Column:
     """The score as a column of any frame that has ``text``."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # Keeps nothing, but what another operator left goes: its memory is needed here.
+        kept(("quality",), dict)
         for batch in batches:
-            yield pd.Series(score(list(batch), model))
+            parts = [score(batch.slice(at, STEP).to_pylist(), model) for at in range(0, len(batch), STEP)]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
     return scored(text)
 

@@ -151,3 +151,25 @@ def test_untitled_mentions_get_the_surrogate_of_their_name(spark):
 
 def test_surrogates_of_an_empty_table(spark, none):
     assert surrogates.replaced(none).count() == 0
+
+
+def test_memory_of_scores_stays_near_the_texts():
+    import tracemalloc
+
+    from connlens.llm import common
+
+    texts = [" ".join(f"w{(i * j) % 977}" for j in range(1, 1200)) for i in range(700)]
+    model = quality.Model(np.linspace(-1, 1, 1 << 18, dtype=np.float32), 0.1, 18)
+    whole = sum(map(len, texts))
+    apart = np.concatenate([quality.score([t], model) for t in texts])
+    tracemalloc.start()
+    scores = quality.score(texts, model)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole > 3 << 20 and scores.tolist() == apart.tolist()
+    assert most < 80 << 20
+
+    first = common.kept(("one", 1), list)
+    assert common.kept(("one", 1), list) is first
+    common.kept(("two",), dict)
+    assert common.kept(("one", 1), list) is not first
