@@ -205,3 +205,28 @@ def test_a_waiting_lane_holds_few_bytes_a_packet():
     state.watermark = 61_000
     (found,) = run(("e", 0), iter([]), state)
     assert found["uid"].tolist() == ["B"] * 3 and found["packet_us"].max() == 60_000_000
+
+
+def test_an_answer_of_a_lane_is_one_row_and_repeated_uids_meet():
+    n, state = 2000, Lane(0)
+    packets = pd.DataFrame({"us": np.arange(n), "pkt_id": np.arange(n) * 3, "uid": [None] * n})
+    asked = pd.DataFrame({"us": [-1, 700, 1999], "pkt_id": [None] * 3, "uid": ["none", "A", "B"]})
+    state.update = lambda held: None
+    frames = list(context.keep_last(500, 5000)(("e", 1), iter([packets, asked]), state))
+    assert [len(f) for f in frames] == [2] and frames[0]["uid"].tolist() == ["A", "B"]
+    assert frames[0]["packet_us"][0].tolist() == list(range(201, 701)) and len(frames[0]["pkt_id"][1]) == 500
+
+
+def test_newest_of_lanes_merges_answers_of_a_repeated_uid(spark):
+    draw = random.Random(8)
+    answers, each = [], {}
+    for uid, iface in (("A", "e"), ("A", None), (None, "e"), ("B", "e")):
+        for lane in range(9):
+            some = sorted((draw.randrange(40), draw.randrange(10**9)) for _ in range(draw.randrange(1, 8)))
+            for _ in range(1 + (uid == "A")):
+                answers.append((iface, lane, uid, [p for _, p in some], [t for t, _ in some]))
+                each.setdefault((uid, iface), []).extend(some)
+    got = {}
+    for r in context.newest_of_lanes(spark.createDataFrame(answers, context.ANSWER), 5).orderBy("back").collect():
+        got.setdefault((r["uid"], r["iface"]), []).append((r["back"], r["pkt_id"]))
+    assert got == {k: [(i + 1, p) for i, (_, p) in enumerate(sorted(v, reverse=True)[:5])] for k, v in each.items()}
