@@ -271,3 +271,11 @@ def test_one_partition_of_rows_is_fitted_and_predicted_by_all_slots(spark, monke
     model = attack_model.fit_attack_model(df, numTrees=3, maxDepth=3)
     report = attack_model.evaluate(df, model)["report"]
     assert seen == [slots] * 2 and report.agg(F.sum("support")).first()[0] == 200
+
+
+def test_a_forest_remembers_the_node_of_each_row(spark):
+    data = [(f"u{i}", [float(i % 17), float(i % 5)], f"c.{(i % 17) // 6}") for i in range(300)]
+    df = spark.createDataFrame(data, "uid string, features array<double>, class_name string")
+    model = attack_model.fit_attack_model(df, numTrees=4, maxDepth=4)
+    walked = attack_model.fit_attack_model(df, numTrees=4, maxDepth=4, cacheNodeIds=False)
+    assert model.fitted.getOrDefault("cacheNodeIds") and model.fitted.toDebugString.split("\n")[1:] == walked.fitted.toDebugString.split("\n")[1:]
