@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,20 +48,21 @@ def with_value(value: Column, body) -> Column:
 
 
 class Remembered(dict):
-    """A dict that forgets what was not asked for lately: some ``most`` new keys, and as many older ones."""
+    """A dict that forgets what was not asked for lately: some ``most`` new keys, of some ``size`` characters, and as many older ones."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, size: float = math.inf):
         super().__init__()
-        self.most, self.older = most, {}
+        self.most, self.size, self.held, self.older = most, size, 0, {}
 
     def of(self, keys: list, learn: Callable[[set], None]) -> list:
         """Values of the keys; ``learn`` gets the unknown ones and stores what it can. None for the rest."""
-        if len(self) > self.most:
-            self.older = dict(self)
+        if len(self) > self.most or self.held > self.size:
+            self.older, self.held = dict(self), 0
             self.clear()
         found = list(map(self.get, keys))
         absent = {k for k, v in zip(keys, found, strict=True) if v is None}
         if absent:
+            self.held += sum(map(len, absent))
             known = absent & self.older.keys()
             self.update({k: self.older[k] for k in known})
             learn(absent - known)
@@ -73,10 +77,19 @@ def kept(key: tuple, make: Callable[[], object]):
     """What a worker keeps from one task to the next, for one operator at a time: what another one left is freed first."""
     if key not in _KEPT:
         _KEPT.clear()
+        given_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def given_back() -> None:
+    """Memory that this worker has freed goes back to the system, as other processes of its executor need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # Bytes of a text: 0 space, 1 part of a word, 2 other mark.
 BYTE_KIND = np.full(256, 2, np.uint8)
 BYTE_KIND[:33] = 0

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +35,20 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Tasks of pass 1 up to which their offsets are broadcast.
 MOST_TASKS = 1_000_000
-#: Chunks remembered by a worker.
+#: Chunks remembered by a worker, and their characters: a chunk without a space may be long.
 REMEMBERED = 500_000
+CHARACTERS = 4_000_000
 
 # One space between two other characters: no token reaches over its left side.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = re.compile(r"\s")
 _MARKS = ",.;:!?"
 _USUAL = re.compile("[!-~¡-¬®-ɏ]+")
+_USUAL_TEXT = re.compile("[!-~¡-¬®-ɏ \n]+")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+#: What the splitting pattern looks ahead for: a space before other spaces. Without such it says the same without this part,
+#: and needs no backtracking.
+_AHEAD = r"\s+(?!\S)|"
 
 
 class Ids:
@@ -52,9 +59,11 @@ class Ids:
     two others a token of its own. So the chunks between those are encoded
     apart, each with its space, and repeated chunks only once.
 
-    ``ranks`` may name the same vocabulary as a rank file: chunks of printable
-    European characters, on whose classes all libraries agree, are then encoded
-    by tiktoken, which needs a fraction of the time for equal ids.
+    ``ranks`` may name the same vocabulary as a rank file: printable European
+    characters, on whose classes all libraries agree, are then encoded by
+    tiktoken, which needs a fraction of the time for equal ids. A text of those
+    alone, with single spaces and line ends, is encoded whole and nothing of it
+    is remembered; of other texts, the chunks of such characters.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -62,13 +71,13 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.fast = _fast(ranks) if ranks else None
+        self.fast, self.plain = _fast(ranks) if ranks else (None, None)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end = self._encode(["\n"])[0]
         self.line_end_id = np.frombuffer(self.line_end, "<u4")[0]
         self.marks = dict(zip(_MARKS, self._encode(list(_MARKS)), strict=True))
-        self.first = Remembered(REMEMBERED // 10)
-        self.later = Remembered(REMEMBERED)
+        self.first = Remembered(REMEMBERED // 10, CHARACTERS // 10)
+        self.later = Remembered(REMEMBERED, CHARACTERS)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,6 +103,18 @@ class Ids:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        whole = [self._whole(t) for t in texts]
+        others = [t for t, ids in zip(texts, whole, strict=True) if ids is None]
+        found = iter(self._by_chunks(others)) if others else iter(())
+        return [next(found) if ids is None else ids for ids in whole]
+
+    def _whole(self, text: str) -> bytes | None:
+        """Ids of a text of usual characters alone; None for any other."""
+        if self.plain is None or not _USUAL_TEXT.fullmatch(text) or any([x in text for x in _RUNS]) or any([s in text for s in self.special]):
+            return None
+        return np.array(array("I", self.plain.encode_ordinary(text)), "<u4").tobytes()
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         # Special tokens are found in the whole text before it is split.
         parts = [None if any([s in t for s in self.special]) else [line.split(" ") for line in t.split("\n")] for t in texts]
         starts = [line[0] for lines in parts if lines for line in lines]
@@ -123,6 +144,7 @@ def _loose(chunk: str) -> bool:
 
 
 def _fast(ranks: str):
+    """Encoders by the rank file: of any text, and of texts in which no space follows another."""
     import base64
 
     import public_tokenizers
@@ -130,7 +152,8 @@ def _fast(ranks: str):
 
     with open(ranks, "rb") as lines:
         known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+    pattern = public_tokenizers.PATTERN
+    return tuple(tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=known, special_tokens={}) for p in (pattern, pattern.replace(_AHEAD, "")))
 
 
 def ids_of(path: str, ranks: str | None = None) -> Ids:

@@ -40,6 +40,32 @@ def test_ids_survive_forgetting():
             assert np.frombuffer(made, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_usual_texts_are_encoded_whole_and_leave_nothing_remembered():
+    ids = Ids(tokenizer_path(), tokenizer_path(packing.RANKS))
+    draw = random.Random(5)
+    usual = "abcdefghijklmnop's'll'd're éßłÿƒ12²½¿«.,;!?-_()<|>$±§ \n \n"
+    texts = ["".join(draw.choice(usual) for _ in range(draw.randint(0, 60))) for _ in range(3000)]
+    texts += [" ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(1, 12))) for _ in range(300)) for _ in range(200)]
+    texts += ["", " ", "\n", " a", "a ", "\na", "a\n", "shon 's 'S s's\n's", "naïve œuvre\nÇa va, 3²", "<|endoftext|>", "a <|endoftext|> b"]
+    for text, made in zip(texts, ids(texts), strict=True):
+        assert np.frombuffer(made, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, text
+    plain = [re.sub(r"\s+", " ", t.replace("<|endoftext|>", "")) for t in texts[:1000] + texts[3000:]]
+    fresh = Ids(tokenizer_path(), tokenizer_path(packing.RANKS))
+    fresh(plain)
+    assert not fresh.first and not fresh.later
+
+
+def test_long_chunks_are_forgotten_by_their_characters():
+    ids = Ids(tokenizer_path())
+    ids.first.size = ids.later.size = 2000
+    texts = ["日" * 300 + f"{i} " + "本" * 300 + str(i) for i in range(40)]
+    for text in texts:
+        (made,) = ids([text])
+        assert np.frombuffer(made, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+        for known in (ids.first, ids.later):
+            assert sum(map(len, known)) <= 2800 and sum(map(len, known.older)) <= 2800
+
+
 def test_packing_covers_every_id_once(spark, odd):
     size = 64
     rows = packing.pack(odd, tokenizer_path(), size=size).collect()
