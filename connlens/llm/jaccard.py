@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from connlens.llm.common import fresh, mixed, quoted, saved, table, text_batches, tokens
+from connlens.llm.common import fresh, given_back, mixed, quoted, saved, table, text_batches, tokens
 from connlens.llm.components import components
 from connlens.operators.spread import spread_join
 
@@ -205,6 +205,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         for batch in batches:
             sig, n = signatures(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["node", "doc", "n", "sig"])
+        given_back()
 
     signs = saved(rows.select("node", "doc", "text").mapInArrow(signed, schema), "signatures").filter("n > 0")
     nodes = saved(signs.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nodes")

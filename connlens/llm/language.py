@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from connlens.llm.common import LOWER, quoted, remainder, table
+from connlens.llm.common import LOWER, given_back, quoted, remainder, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -308,6 +308,7 @@ def known_column(text: Column, model: Model | None) -> Column:
             names, scores = predict(texts, model, paired)
             near = [0.0 if n == UNKNOWN else likeness(t, model.profiles[model.languages.index(n)]) for t, n in zip(texts, names, strict=True)]
             yield pd.DataFrame({"lang": names, "score": scores, "likeness": near})
+        given_back()
 
     return named(text)
 

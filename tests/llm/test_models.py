@@ -173,3 +173,16 @@ def test_memory_of_scores_stays_near_the_texts():
     assert common.kept(("one", 1), list) is first
     common.kept(("two",), dict)
     assert common.kept(("one", 1), list) is not first
+
+
+def test_freed_memory_goes_back_when_another_operator_begins(monkeypatch):
+    from connlens.llm import common
+
+    calls = []
+    real = common.given_back
+    monkeypatch.setattr(common, "given_back", lambda: (calls.append(dict(common._KEPT)), real()))
+    first = common.kept(("one", 1), list)
+    assert common.kept(("one", 1), list) is first and calls == [{}]
+    common.kept(("two",), dict)
+    # What the first one left is gone before the memory is given back.
+    assert calls == [{}, {}]
