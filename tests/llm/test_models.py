@@ -181,8 +181,8 @@ def test_freed_memory_goes_back_when_another_operator_begins(monkeypatch):
     calls = []
     real = common.given_back
     monkeypatch.setattr(common, "given_back", lambda: (calls.append(dict(common._KEPT)), real()))
-    first = common.kept(("one", 1), list)
-    assert common.kept(("one", 1), list) is first and calls == [{}]
-    common.kept(("two",), dict)
+    first = common.kept(("three",), list)
+    assert common.kept(("three",), list) is first and calls == [{}]
+    common.kept(("four",), dict)
     # What the first one left is gone before the memory is given back.
     assert calls == [{}, {}]
