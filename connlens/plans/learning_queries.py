@@ -80,8 +80,9 @@ SELECT label, count(*) AS support, true AS precise FROM v WHERE label IN (SELECT
 """)
 def verified_precision(spark, sf_dir):
     """Confident answers on verified rows of the kind that was learned are right for every class."""
-    rows = fx.store(spark, sf_dir).filter("confidence_level in ('medium', 'high')")
-    model, _ = attack_model.train_from_store(fx.store(spark, sf_dir))
+    store = fx.store(spark, sf_dir)
+    rows = store.filter("confidence_level in ('medium', 'high')")
+    model, _ = attack_model.train_from_store(store)
     report = attack_model.evaluate_verified(rows, model)
     known = F.array(*[F.lit(c) for c in model.classes])
     return report.filter(F.array_contains(known, F.col("label")) & (F.col("support") > 0)).select("label", "support", (F.col("precision") > 0.8).alias("precise"))

@@ -279,3 +279,25 @@ def test_a_forest_remembers_the_node_of_each_row(spark):
     model = attack_model.fit_attack_model(df, numTrees=4, maxDepth=4)
     walked = attack_model.fit_attack_model(df, numTrees=4, maxDepth=4, cacheNodeIds=False)
     assert model.fitted.getOrDefault("cacheNodeIds") and model.fitted.toDebugString.split("\n")[1:] == walked.fitted.toDebugString.split("\n")[1:]
+
+
+def test_only_the_ranges_of_hashes_that_hold_a_cut_are_ranked(spark, monkeypatch):
+    data = [("a", f"u{i}") for i in range(4000)] + [("b", None if i < 4 else f"u{i // 2}") for i in range(30)] + [(None, "u1")]
+    df = spark.createDataFrame(data, "class_name string, uid string")
+    seen, real = [], attack_model.running_totals
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return real(rows, *rest)
+
+    placed = df.select("class_name", attack_model._place("uid", 42).alias("p")).collect()
+    wanted = {}
+    for kind in ("a", "b"):
+        own = sorted(((r["p"]["h"], r["p"]["k"]) for r in placed if r["class_name"] == kind), key=lambda p: (p[0], p[1] or ""))
+        wanted[kind] = [own[round(share * len(own)) - 1] for share in (0.2, 0.5)]
+    monkeypatch.setattr(attack_model, "running_totals", counted)
+    for limit in (50_000, 0):
+        monkeypatch.setattr(attack_model, "ONE_TASK_ROWS", limit)
+        cuts = attack_model.class_cuts(df, "class_name", "uid", [0.0, 0.2, 0.5], 42).filter("class_name is not null").collect()
+        assert {r["class_name"]: [tuple(c) for c in r["_cuts"]] for r in cuts} == wanted and {r["_none"] for r in cuts} == {1}
+    assert len(seen) == 1 and seen[0] < 100
