@@ -121,6 +121,22 @@ def test_tuning(spark):
     assert best.count() == 2
 
 
+def test_cross_validation_fits_each_fold_once_in_its_share_of_the_slots(spark, monkeypatch):
+    seen, fit = [], attack_model.RandomForestClassifier._fit
+
+    def counted(self, train):
+        seen.append((train.count(), train.rdd.getNumPartitions()))
+        return fit(self, train)
+
+    monkeypatch.setattr(attack_model.RandomForestClassifier, "_fit", counted)
+    df = vectors(spark)
+    cv = attack_model.cross_validate(df, count=3, numTrees=3, maxDepth=3).first()
+    assert len(seen) == 3 and sum(n for n, _ in seen) == 2 * df.count() and {p for _, p in seen} == {spark.sparkContext.defaultParallelism // 2}
+    assert 0.9 <= cv["cv_mean"] <= 1.0
+    with pytest.raises(ValueError, match="data at fold .* is empty"):
+        attack_model.cross_validate(df.limit(1), count=3, numTrees=1, maxDepth=1)
+
+
 def scored(spark):
     return spark.createDataFrame(
         [("N", at(0), 0.4, [0.1, 0.2]), ("A", at(1), -0.9, [10.3, 0.5]), ("E", at(2), None, [0.0, 0.0]), ("M", at(3), -0.3, [5.2, 0.1])],
